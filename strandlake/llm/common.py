@@ -63,3 +63,19 @@ def plus(df: DataFrame, more: str):
 def wide_hash(column: Column) -> list[Column]:
     """Two independent 64-bit hashes: together too wide for chance collisions among 10^13 values."""
     return [F.xxhash64(F.lit(11), column), F.xxhash64(F.lit(29), column)]
+
+
+FILE, ROW = f"{TMP}file", f"{TMP}row"
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with two columns, ``FILE`` and ``ROW``, that tell its rows apart however often it is read: the Parquet file and the place in it. A table that is no plain scan of files is stored first."""
+    from pyspark.errors import AnalysisException
+
+    def named(df):
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+    try:
+        return named(docs)
+    except AnalysisException:
+        return named(store(docs))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, packing, quality, secrets
+from . import chat, line_dedup, mixing, packing, quality, secrets, url_lists
 
 QUERIES = {
     f.__name__: f
     for f in (
+        mixing.op1_mixing_sources,
         quality.op3_quality_rules,
         secrets.op4_secret_scan,
         line_dedup.op5_line_dedup,
         chat.op7_chat_formatting,
         packing.op9_best_fit_packing,
+        url_lists.op10_url_filters,
     )
 }
 
-SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op7_chat_formatting": chat.OP7_SQL}
+SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op7_chat_formatting": chat.OP7_SQL, "op10_url_filters": url_lists.OP10_SQL}
