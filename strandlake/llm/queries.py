@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, packing, quality, secrets, url_lists
+from . import chat, line_dedup, mixing, neighbours, packing, quality, secrets, url_lists
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         secrets.op4_secret_scan,
         line_dedup.op5_line_dedup,
         chat.op7_chat_formatting,
+        neighbours.op8_nearest_neighbours,
         packing.op9_best_fit_packing,
         url_lists.op10_url_filters,
     )

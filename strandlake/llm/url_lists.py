@@ -84,7 +84,8 @@ def op10_url_filters(spark, sf_dir: str) -> DataFrame:
         F.expr(day.format("page_id * 37 + 11")).alias("listed"),
         F.element_at(F.array(F.lit("block"), F.lit("remove"), F.lit("allow")), F.expr("cast(pmod(page_id, 3) + 1 as int)")).alias("action"),
     )
-    return judge_captures(captures, entries).select("page_id", "host", "fetched", "matched_key", "listed_from", "blocked")
+    said = judge_captures(captures, entries)
+    return said.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "matched_key", F.col("listed_from").cast("string").alias("listed_from"), "blocked")
 
 
 OP10_SQL = r"""
@@ -105,5 +106,5 @@ WITH page AS (
     AND p.fetched >= s.listed AND (s.until IS NULL OR p.fetched < s.until) AND s.rank > 1
   GROUP BY p.page_id
 )
-SELECT page.page_id, host, fetched, matched_key, listed_from, coalesce(rank = 3, false) AS blocked FROM page LEFT JOIN best USING (page_id)
+SELECT page.page_id, host, CAST(fetched AS VARCHAR) AS fetched, matched_key, CAST(listed_from AS VARCHAR) AS listed_from, coalesce(rank = 3, false) AS blocked FROM page LEFT JOIN best USING (page_id)
 """
