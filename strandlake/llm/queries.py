@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, neighbours, packing, quality, secrets, url_lists
+from . import chat, jaccard, line_dedup, mixing, neighbours, packing, quality, secrets, url_lists
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         quality.op3_quality_rules,
         secrets.op4_secret_scan,
         line_dedup.op5_line_dedup,
+        jaccard.op6_ngram_jaccard_join,
         chat.op7_chat_formatting,
         neighbours.op8_nearest_neighbours,
         packing.op9_best_fit_packing,
