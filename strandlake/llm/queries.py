@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, line_dedup, mixing, neighbours, packing, quality, secrets, url_lists
+from . import chat, jaccard, line_dedup, mixing, neighbours, packing, quality, secrets, surrogates, url_lists
 
 QUERIES = {
     f.__name__: f
     for f in (
         mixing.op1_mixing_sources,
+        surrogates.op2_pii_surrogates,
         quality.op3_quality_rules,
         secrets.op4_secret_scan,
         line_dedup.op5_line_dedup,
