@@ -93,7 +93,15 @@ def isotonic_fit(bins: DataFrame, x: str = "x", y: str = "y", w: str = "n", by:
         return g.assign(fitted=isotonic(g[y].to_numpy(), g[w].to_numpy()))
 
     schema = StructType([*bins.schema.fields, StructField("fitted", DoubleType())])
-    return bins.groupBy(by if by else F.lit(0)).applyInPandas(fit, schema)
+    if by:
+        return bins.groupBy(by).applyInPandas(fit, schema)
+
+    def whole(batches):
+        frames = [b for b in batches if len(b)]
+        if frames:
+            yield fit(pd.concat(frames))
+
+    return bins.coalesce(1).mapInPandas(whole, schema)
 
 
 def calibration_knots(pairs: DataFrame, estimate: str, truth: str, step: float = 0.02, least: int = 20) -> list[tuple[float, float]]:

@@ -56,8 +56,9 @@ def column_weights(columns: DataFrame, hits: DataFrame) -> DataFrame:
     rows = columns.join(hits.select("hit", *MATE, "seq", "role", "unit", "e", "total", "kept", "posterior"), "hit")
     at = Window.partitionBy(*MATE, "qpos")
     out = F.pow(F.lit(2.0), -F.col("term"))
-    rows = rows.withColumn("_adjust", F.sum(F.col("e") * (out - 1)).over(at))
-    rows = rows.withColumn("weight", F.when(F.col("qpos") >= 0, F.col("e") * out / (F.col("total") + F.col("_adjust"))).otherwise(F.col("posterior"))).drop("_adjust")
+    # What lies elsewhere keeps its share, what lies here is taken without this column; both sums are of positive terms.
+    rows = rows.withColumn("_here", F.sum(F.col("e") * out).over(at)).withColumn("_else", F.greatest(F.col("total") - F.sum("e").over(at), F.lit(0.0)))
+    rows = rows.withColumn("weight", F.when(F.col("qpos") >= 0, F.col("e") * out / (F.col("_else") + F.col("_here"))).otherwise(F.col("posterior"))).drop("_here", "_else")
     carried = rows.where("qpos >= 0").groupBy(*MATE, "qpos", F.col("ref").alias("residue")).agg(F.count_distinct("unit").alias("_units"), F.min("unit").alias("_other"))
     rows = rows.join(carried, [*MATE, "qpos", "residue"], "left")
     sibling = (F.col("qpos") >= 0) & (F.col("residue") != F.col("ref")) & ((F.col("_units") > 1) | (F.col("_other") != F.col("unit")))

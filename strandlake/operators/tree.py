@@ -192,8 +192,8 @@ def range_postings(held: DataFrame, leaves: DataFrame) -> DataFrame:
                     rows += [(h, *x) for x in parsimony(nodes, t, own)]
         return pd.DataFrame(rows, columns=["hash", "lo", "hi", "sign"]).astype({"hash": "int64", "lo": "int64", "hi": "int64", "sign": "int32"})
 
-    keyed = held.select("set_id", "hash").distinct().join(leaves.select("set_id", "component"), "set_id")
-    return keyed.groupBy("component").cogroup(leaves.groupBy("component")).applyInPandas(lambda a, b: change(a, b), "hash long, lo long, hi long, sign int")
+    keyed = held.select("set_id", "hash").distinct().join(leaves.select("set_id", F.col("component").alias("tree")), "set_id")
+    return keyed.groupBy("tree").cogroup(leaves.groupBy("component")).applyInPandas(lambda a, b: change(a, b), "hash long, lo long, hi long, sign int")
 
 
 def scheme_counts(held: DataFrame, leaves: DataFrame) -> DataFrame:

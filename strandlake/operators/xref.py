@@ -18,7 +18,7 @@ def function_weights(assignments: DataFrame) -> DataFrame:
 
 def genome_weights(hits: DataFrame, contigs: DataFrame, least_identity: float = 0.95, least_mapq: int = 0) -> DataFrame:
     """``pair, genome, w, bases``: of each mate's best alignment on every genome, the genomes with most mates and then the highest score, in equal shares."""
-    good = hits.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") >= least_mapq) & (1 - F.col("mismatches") / F.col("aligned") >= least_identity)).join(contigs.select("contig", "genome"), "contig")
+    good = hits.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") >= least_mapq) & (1 - F.try_divide("mismatches", "aligned") >= least_identity)).join(contigs.select("contig", "genome"), "contig")
     good = good.withColumn("mate", F.col("flag").bitwiseAND(128) > 0)
     best = good.groupBy("pair", "mate", "genome").agg(F.max(F.struct("score", "aligned")).alias("b"))
     sums = best.groupBy("pair", "genome").agg(F.count(F.lit(1)).alias("mates"), F.sum("b.score").alias("score"), F.sum("b.aligned").alias("aligned"))

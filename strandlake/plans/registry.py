@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational, sequences
+from . import analytics, relational, sequences
 
-MODULES = [relational, sequences]
+MODULES = [relational, sequences, analytics]
 QUERIES = {name: f for m in MODULES for name, f in m.R.queries.items()}
 SQL = {name: q for m in MODULES for name, q in m.R.sql.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabets import alphabet
-from ..functions.kmers import KmerParams, base_counts, bound, read_kmers, target_kmers, unsigned
+from ..functions.kmers import KmerParams, base_counts, bound, read_kmers, target_kmers
 from ..functions.sequences import mask_adapters, mask_quality_column, reverse_complement_column, translate_column
 from ..lineage import cut
 from ..operators import assign, index_build, lookup
@@ -349,4 +349,3 @@ def route_pairs(spark, d):
     return lookup.routes(reads(spark, d), blocks, 3)[0].select("read", "block", "shared")
 
 
-__all__ = ["R", "hits", "index", "named", "reads", "steps", "targets", "unsigned"]
