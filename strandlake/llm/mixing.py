@@ -143,12 +143,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """
     docs = identified(docs)
     takes = mix(docs, **how).takes().where("times > 0")
-    taken = takes.groupBy(FILE, ROW, "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("_taken"), F.max("times").alias("_most"), F.min("times").alias("_least"), F.sum("words").alias("_words"))
+    taken = takes.groupBy(FILE, ROW, "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("__sl_taken"), F.max("times").alias("__sl_most"), F.min("times").alias("__sl_least"), F.sum("words").alias("__sl_words"))
     # A pass takes the text whole if it takes every block.
-    taken = taken.select(FILE, ROW, "_taken", "_most", F.when(F.col("_words") == F.col("size"), F.col("_least")).otherwise(0).alias("_whole"))
-    rows = docs.join(taken, [FILE, ROW]).withColumn("_pass", F.explode(F.expr("sequence(1L, _most)")))
-    parts = F.expr(r"array_join(flatten(transform(filter(_taken, x -> x.times >= _pass), x -> slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), cast(x.first + 1 as int), cast(x.words as int)))), '')")
-    rows = rows.withColumn("text", F.when(F.col("_pass") <= F.col("_whole"), F.col("text")).otherwise(parts))
+    taken = taken.select(FILE, ROW, "__sl_taken", "__sl_most", F.when(F.col("__sl_words") == F.col("size"), F.col("__sl_least")).otherwise(0).alias("__sl_whole"))
+    rows = docs.join(taken, [FILE, ROW]).withColumn("__sl_pass", F.explode(F.expr("sequence(1L, __sl_most)")))
+    parts = F.expr(r"array_join(flatten(transform(filter(__sl_taken, x -> x.times >= __sl_pass), x -> slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), cast(x.first + 1 as int), cast(x.words as int)))), '')")
+    rows = rows.withColumn("text", F.when(F.col("__sl_pass") <= F.col("__sl_whole"), F.col("text")).otherwise(parts))
     kept = [c for c in docs.columns if c not in (FILE, ROW)]
     return rows.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in kept))
 

@@ -114,10 +114,11 @@ def fit(pats: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
     return x
 
 
-def round_within(pats: np.ndarray, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def round_within(pats: np.ndarray, x: np.ndarray, counts: np.ndarray, up: float) -> tuple[np.ndarray, np.ndarray]:
     """Whole repeats of the patterns that use no length more often than it occurs, and what is left of ``counts``.
 
-    Repeats are rounded up in order of their fractional part as long as the lengths last, then topped up once more.
+    Whole parts first; then repeats with a fraction of at least ``up`` are rounded up, the largest first, as long as the
+    lengths last.
     """
     left = counts.copy()
     left[0] = 0
@@ -139,9 +140,9 @@ def round_within(pats: np.ndarray, x: np.ndarray, counts: np.ndarray) -> tuple[n
         take(i, int(x[i]))
     part = x - np.floor(x)
     for i in np.argsort(-part, kind="stable"):
+        if part[i] < up:
+            break
         take(i, 1)
-    for i in order:
-        take(i, 1 << 60)
     return reps, left
 
 
@@ -185,12 +186,15 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(counts: np.ndarray, most: int = 60_000) -> list[tuple[tuple[int, ...], int]]:
-    """Packs as (lengths, repeats) for a histogram: pattern packing, then best fit for the rest."""
+    """Packs as (lengths, repeats) for a histogram: pattern packing, then best fit for the rest. Of three ways to round the fitted repeats, down, to the nearest and up, the one that needs the fewest sequences is taken."""
     lengths = np.flatnonzero(counts[1:]) + 1
     pats = patterns(len(counts) - 1, lengths, most)
-    reps, left = round_within(pats, fit(pats, counts), counts)
-    packs = [(tuple(int(v) for v in p if v), int(r)) for p, r in zip(pats, reps) if r]
-    return packs + best_fit(left)
+    x = fit(pats, counts)
+    ways = []
+    for up in (2.0, 0.5, 0.0):
+        reps, left = round_within(pats, x, counts, up)
+        ways.append([(tuple(int(v) for v in p if v), int(r)) for p, r in zip(pats, reps) if r] + best_fit(left))
+    return min(ways, key=lambda packs: sum(r for _, r in packs))
 
 
 def places(packs: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, np.ndarray]:

@@ -61,10 +61,10 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     as_of = Window.partitionBy("key").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     states = events.unionByName(probes).withColumn("entry", F.last("entry", ignorenulls=True).over(as_of)).where("asks = 1 and entry.action <> 'remove' and (entry.until is null or day < entry.until)")
     states = states.select("key", "day", F.col("entry.since").alias("since"), F.col("entry.action").alias("action"))
-    verdicts = asked.join(states, ["key", "day"]).groupBy("host", "day").agg(F.max_by(F.struct("key", "since", "action"), "labels").alias("v"))
-    verdicts = verdicts.select(F.col("host").alias("v_host"), F.col("day").alias("v_day"), "v")
-    judged = rest.join(verdicts, (rest["host"] == F.col("v_host")) & (rest["fetched"] == F.col("v_day")), "left")
-    return judged.select(*(rest[c] for c in rest.columns), F.col("v.key").alias("matched_key"), F.col("v.since").alias("listed_from"), F.coalesce(F.col("v.action") == "block", F.lit(False)).alias("blocked"))
+    verdicts = asked.join(states, ["key", "day"]).groupBy("host", "day").agg(F.max_by(F.struct("key", "since", "action"), "labels").alias("__sl_v"))
+    verdicts = verdicts.select(F.col("host").alias("__sl_host"), F.col("day").alias("__sl_day"), "__sl_v")
+    judged = rest.join(verdicts, (rest["host"] == F.col("__sl_host")) & (rest["fetched"] == F.col("__sl_day")), "left")
+    return judged.select(*(rest[c] for c in rest.columns), F.col("__sl_v.key").alias("matched_key"), F.col("__sl_v.since").alias("listed_from"), F.coalesce(F.col("__sl_v.action") == "block", F.lit(False)).alias("blocked"))
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
