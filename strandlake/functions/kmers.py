@@ -56,9 +56,12 @@ def unsigned(hash_: Column | str) -> Column:
 
 
 def ordered_bound(fraction: Column) -> Column:
-    """``bound`` of a column of rates, in the order of ``unsigned``."""
-    kept = F.greatest(F.lit(0).cast("decimal(21,0)"), (F.greatest(F.least(fraction, F.lit(1.0)), F.lit(0.0)) * F.lit(2.0**64)).cast("decimal(21,0)") - F.lit(1)) - F.expr(f"cast('{TOP}' as decimal(21,0))")
-    return F.when(fraction >= 1, F.lit(TOP - 1)).otherwise(kept.cast("long"))
+    """``bound`` of a column of rates, in the order of ``unsigned``. The product with 2^64 is taken in two halves, each of which a double holds exactly."""
+    f = F.greatest(fraction, F.lit(0.0)) * F.lit(2.0**32)
+    high = F.floor(f)
+    low = F.floor((f - high) * F.lit(2.0**32))
+    value = (high - F.lit(1 << 31)) * F.lit(1 << 32) + (low - 1)
+    return F.when(fraction >= 1, F.lit(TOP - 1)).when((high == 0) & (low == 0), F.lit(-TOP)).otherwise(value)
 
 
 @dataclass(frozen=True)

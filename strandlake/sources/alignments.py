@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,8 +94,8 @@ def expand_columns(hits: DataFrame, keep: list[str], subject: str | None = None)
             found = [btop_columns(t, s, q)[0] for t, s, q in zip(b["btop"], b["sstart"], b[subject] if subject else [None] * len(b))]
             which = [i for i, c in enumerate(found) for _ in c]
             out = b[keep].iloc[which].reset_index(drop=True)
-            out["column"] = pd.array([x for c in found for x, _ in c], "int32")
-            out["residue"] = [r for c in found for _, r in c]
+            out["column"] = np.array([x for c in found for x, _ in c], np.int32)
+            out["residue"] = np.array([r for c in found for _, r in c], object)
             yield out
 
     return hits.select(*dict.fromkeys([*keep, "btop", "sstart", *([subject] if subject else [])])).mapInPandas(walk, schema)
@@ -110,8 +111,8 @@ def expand_events(hits: DataFrame, keep: list[str]) -> DataFrame:
         for b in batches:
             found = [btop_columns(t, s)[1] for t, s in zip(b["btop"], b["sstart"])]
             out = b[keep].iloc[[i for i, c in enumerate(found) for _ in c]].reset_index(drop=True)
-            out["column"] = pd.array([x for c in found for x, _ in c], "int32")
-            out["event"] = [r for c in found for _, r in c]
+            out["column"] = np.array([x for c in found for x, _ in c], np.int32)
+            out["event"] = np.array([r for c in found for _, r in c], object)
             yield out
 
     return hits.select(*dict.fromkeys([*keep, "btop", "sstart"])).mapInPandas(walk, schema)

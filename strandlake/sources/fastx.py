@@ -105,7 +105,7 @@ class FastxReader(DataSourceReader):
     def read(self, partition):
         store, inside = opened(partition.path)
         with store.open_input_file(inside) if partition.end is not None else store.open_input_stream(inside, compression=None) as raw:
-            f = io.BufferedReader(raw) if partition.end is None else raw
+            f = io.BufferedReader(raw)
             if partition.end is None and f.peek(2)[:2] == b"\x1f\x8b":
                 f = gzip.open(f)
             at = sync(f, partition.start) if partition.start else 0
@@ -113,7 +113,6 @@ class FastxReader(DataSourceReader):
                 if at >= partition.end:
                     return
                 f.seek(at)
-                f = io.BufferedReader(f)
             for i, (head, seq, qual) in enumerate(records(iter(f), partition.end, at)):
                 yield partition.path, partition.part, i, head.split(None, 1)[0].decode() if head.split() else "", seq.decode("latin-1"), qual.decode("latin-1") if qual is not None else None
 
