@@ -171,7 +171,7 @@ def signature_groups(spark, d):
     return tree.group_pairs(g.select("set_id", F.xxhash64("part", "signature").alias("group")))
 
 
-@R.add("SELECT s AS a, t AS b FROM (SELECT c_nationkey, c_custkey AS s, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS t, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE t IS NOT NULL AND n > 10 UNION SELECT f, c_custkey FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS f, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE c_custkey <> f AND n > 10")
+@R.add("SELECT s AS a, t AS b FROM (SELECT c_nationkey, c_custkey AS s, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS t, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE t IS NOT NULL AND n > 10 UNION SELECT f, c_custkey FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS f, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE c_custkey <> f AND n > 10 UNION SELECT x.c_custkey, y.c_custkey FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) x JOIN customer y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey WHERE n <= 10")
 def group_pairs(spark, d):
     g = table(spark, d, "customer").select(F.col("c_custkey").alias("set_id"), F.col("c_nationkey").alias("group"))
     return tree.group_pairs(g, 10)
@@ -477,9 +477,9 @@ def purity_completeness(spark, d):
     return out.select("threshold", "detected", "true_positives", F.round("purity", 8).alias("purity"), F.round("completeness", 8).alias("completeness"))
 
 
-@R.add("WITH s AS (SELECT round(c_acctbal, -2) AS score, count(*) AS c, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS t FROM customer GROUP BY 1) SELECT score, sum(c) OVER w::BIGINT AS n, round(sum(t) OVER w / (SELECT sum(t) FROM s)::DOUBLE, 8) AS recall, round(sum(t) OVER w / sum(c) OVER w::DOUBLE, 8) AS precision FROM s WINDOW w AS (ORDER BY score DESC)")
+@R.add("WITH s AS (SELECT round(c_acctbal, -2) + 0.0 AS score, count(*) AS c, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS t FROM customer GROUP BY 1) SELECT score, sum(c) OVER w::BIGINT AS n, round(sum(t) OVER w / (SELECT sum(t) FROM s)::DOUBLE, 8) AS recall, round(sum(t) OVER w / sum(c) OVER w::DOUBLE, 8) AS precision FROM s WINDOW w AS (ORDER BY score DESC)")
 def recall_precision_curve(spark, d):
-    c = table(spark, d, "customer").select(F.round("c_acctbal", -2).alias("score"), (F.col("c_mktsegment") == "BUILDING").alias("truth"), "c_custkey")
+    c = table(spark, d, "customer").select((F.round("c_acctbal", -2) + 0.0).alias("score"), (F.col("c_mktsegment") == "BUILDING").alias("truth"), "c_custkey")
     out = evaluate.recall_curve(c, "score", "truth", "c_custkey")
     return out.select("score", "n", F.round("recall", 8).alias("recall"), F.round("precision", 8).alias("precision"))
 
