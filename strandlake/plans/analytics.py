@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kmers import KmerParams, target_kmers
 from ..lineage import cut
-from ..operators import assign, estimators, evaluate, graph, identity, pileup, reference_set, tree, xref
+from ..operators import align, assign, estimators, evaluate, graph, identity, pileup, reference_set, sketch, tree, xref
 from .sequences import hits, named
 from .tables import Registry, table
 
@@ -550,3 +550,64 @@ def merge_bins(spark, d):
     return evaluate.merge_small_bins(b, 100)
 
 
+
+
+# Kernels and sketches.
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Each benchmark passage with the next one and with itself."""
+    b = table(spark, d, "benchmark").select("item_id", F.upper(F.substring("text", 1, 120)).alias("text"))
+    other = b.select(F.col("item_id").alias("other"), F.col("text").alias("b"))
+    return b.withColumn("other", F.explode(F.array(F.col("item_id"), F.col("item_id") + 1))).withColumnRenamed("text", "a").join(other, "other")
+
+
+@R.add("SELECT item_id, item_id AS other, 1.0::DOUBLE AS identity, length(substr(text, 1, 120))::BIGINT AS columns FROM benchmark WHERE regexp_full_match(substr(text, 1, 120), '[ -~\\n]*')")
+def overlap_identities(spark, d):
+    """Passages of plain letters with themselves; the other pairs of ``_pairs`` are for ``seed_alignments``."""
+    same = _pairs(spark, d).where("item_id = other").where(F.col("a").rlike(r"^[ -~\n]*$"))
+    return align.identities(same, ["item_id", "other"])
+
+
+@R.add()
+def seed_alignments(spark, d):
+    return align.seed_alignments(_pairs(spark, d), ["item_id", "other"])
+
+
+@R.add()
+def ungapped_scores(spark, d):
+    return align.ungapped_scores(_pairs(spark, d), ["item_id", "other"])
+
+
+@R.add("SELECT count(DISTINCT l_partkey)::BIGINT AS kept FROM lineitem")
+def bloom_membership(spark, d):
+    """No key that was put in is missed."""
+    keys = table(spark, d, "lineitem").select(F.xxhash64("l_partkey").alias("hash")).distinct()
+    blocks = sketch.bloom_blocks(keys.count())
+    return sketch.bloom_contains(keys, sketch.bloom_table(keys, blocks), blocks).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@R.add(_SUPPLY + "SELECT id, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS r FROM (SELECT a AS id, b AS other, shared FROM pair UNION ALL SELECT b, a, shared FROM pair)) WHERE r <= 10")
+def nearest_relatives(spark, d):
+    return sketch.nearest_relatives(_supply(spark, d).withColumnRenamed("set_id", "id"))
+
+
+@R.add()
+def linear_clusters(spark, d):
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("target_id"), F.upper("text").alias("sequence"))
+    return sketch.linear_clusters(docs, KmerParams(4), 0.8)
+
+
+@R.add()
+def signature_kmers(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("sequence"))
+    return sketch.signature_kmers(b, 7, "protein", ["item_id"], 2)
+
+
+@R.add(_SUPPLY + "SELECT 1::BIGINT AS read, set_id AS unit, round(sum(b) - (count(*) - 1) * 1.5, 6) AS score FROM held JOIN (SELECT hash, -log2(count(*) / 100.0) AS b FROM held GROUP BY 1) USING (hash) GROUP BY 2")
+def unit_evidence(spark, d):
+    held = _supply(spark, d)
+    bits = tree.key_bits(held, 100)
+    keys = held.select("hash", F.col("set_id").alias("unit")).join(bits, "hash")
+    asked = held.select(F.lit(1).cast("long").alias("read"), "hash").distinct()
+    return sketch.unit_evidence(asked, keys, 1.5).select("read", "unit", F.round("score", 6).alias("score"))
