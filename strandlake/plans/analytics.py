@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kmers import KmerParams, target_kmers
 from ..lineage import cut
-from ..operators import align, assign, estimators, evaluate, graph, identity, pileup, reference_set, sketch, tree, xref
+from ..operators import align, assign, estimators, evaluate, families, graph, identity, pileup, reference_set, sketch, tree, xref
 from .sequences import hits, named
 from .tables import Registry, table
 
@@ -611,3 +611,70 @@ def unit_evidence(spark, d):
     keys = held.select("hash", F.col("set_id").alias("unit")).join(bits, "hash")
     asked = held.select(F.lit(1).cast("long").alias("read"), "hash").distinct()
     return sketch.unit_evidence(asked, keys, 1.5).select("read", "unit", F.round("score", 6).alias("score"))
+
+
+# Families.
+
+
+@R.add("WITH c AS (SELECT l_suppkey AS family, l_linenumber AS col, l_returnflag AS r, count(*) AS c FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT *, c / sum(c) OVER (PARTITION BY family, col)::DOUBLE AS p FROM c) SELECT family, col, sum(c)::BIGINT AS n, round(sum(-p * log2(p)), 8) AS entropy FROM s GROUP BY 1, 2")
+def column_entropy(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("family"), F.col("l_linenumber").alias("col"), F.col("l_returnflag").alias("residue"))
+    return families.column_entropy(c, ["family", "col"]).select("family", "col", "n", F.round("entropy", 8).alias("entropy"))
+
+
+@R.add("WITH o AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS p FROM orders), n AS (SELECT c_nationkey AS g, count(*) AS n FROM customer GROUP BY 1) SELECT c_nationkey AS nation, p AS priority FROM o JOIN customer ON id = c_custkey JOIN n ON g = c_nationkey GROUP BY 1, 2, n HAVING count(*) >= 0.85 * n")
+def soft_keys(spark, d):
+    held = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("hash"))
+    groups = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("group"))
+    return families.soft_keys(held, groups, 0.85).select(F.col("group").alias("nation"), F.col("hash").alias("priority"))
+
+
+@R.add("SELECT p_partkey, round(2 * greatest(p_size * 10 - 5 + 1, 1) * (1 - power(0.5 + p_size / 100.0, 5)), 6) AS difference FROM part")
+def expected_difference(spark, d):
+    x = families.expected_difference(0.5 + F.col("p_size") / 100.0, F.col("p_size") * 10, 5)
+    return table(spark, d, "part").select("p_partkey", F.round(x, 6).alias("difference"))
+
+
+@R.add("WITH t AS (SELECT p_brand AS c, p_type AS u, sum(p_size) AS a FROM part GROUP BY 1, 2), e AS (SELECT p_brand AS c, p_type AS u, sum(p_retailprice) AS a FROM part WHERE p_size > 10 GROUP BY 1, 2), x AS (SELECT c, u, a / sum(a) OVER (PARTITION BY c)::DOUBLE AS s FROM t), y AS (SELECT c, u, a / sum(a) OVER (PARTITION BY c) AS s FROM e) SELECT c AS brand, round(sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))), 6) AS l1 FROM x FULL JOIN y USING (c, u) GROUP BY c")
+def split_scores(spark, d):
+    p = table(spark, d, "part").withColumnsRenamed({"p_brand": "component", "p_type": "unit"})
+    t = p.groupBy("component", "unit").agg(F.sum("p_size").alias("abundance"))
+    e = p.where("p_size > 10").groupBy("component", "unit").agg(F.sum("p_retailprice").alias("abundance"))
+    return families.split_scores(t, e).select(F.col("component").alias("brand"), F.round("l1", 6).alias("l1"))
+
+
+@R.add("SELECT count(*)::BIGINT AS groups, count(*) FILTER (WHERE p > 0)::BIGINT AS hit, round(avg(p), 8) AS purity FROM (SELECT c_nationkey, avg(CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) THEN 1.0 ELSE 0.0 END) AS p FROM customer GROUP BY 1)")
+def group_scores(spark, d):
+    found = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("group"))
+    t = table(spark, d, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("unit"))
+    return families.group_scores(t, found).select("groups", "hit", F.round("purity", 8).alias("purity"))
+
+
+@R.add("SELECT l.s_suppkey IS NOT NULL AS is_true, count(*)::BIGINT AS units, round(avg(s.s_acctbal / 10000), 8) AS mean_presence FROM supplier s LEFT JOIN (SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.1) l USING (s_suppkey) GROUP BY 1")
+def presence_scores(spark, d):
+    found = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), (F.col("s_acctbal") / 10000).alias("present_prob"))
+    t = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.1").select(F.col("l_suppkey").alias("unit"))
+    out = families.presence_scores(found, t)
+    return out.select(F.col("true").alias("is_true"), "units", F.round("mean_presence", 8).alias("mean_presence"))
+
+
+@R.add()
+def centroids(spark, d):
+    held = cut(_words(spark, d, 4))
+    labels = tree.overlap_components(held)
+    sizes = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("long").alias("length"))
+    rows = held.join(labels, held["set_id"] == labels["node"]).select("component", F.col("set_id").alias("id"), "hash")
+    return families.centroids(rows, sizes, 0.2)
+
+
+@R.add()
+def kmer_surprisal(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("sequence"))
+    return families.surprisal(b, KmerParams(4), ["item_id"], dict.fromkeys("ACDEFGHIKLMNPQRSTVWY", 0.05)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("least"))
+
+
+@R.add()
+def pair_survival(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("cluster"), F.col("text").alias("sequence"))
+    pairs = docs.select("id", "cluster", F.lit(1.0).alias("identity"))
+    return families.pair_survival(pairs, docs, KmerParams(5))
