@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The blanks that part words and pad lines: space and U+0009 to U+000D. ``bytes.split()`` and ``bytes.strip()`` use the same six.
-BLANKS = " \t\n\x0b\x0c\r"
+from ..lineage import cut as store
+
+__all__ = ["FILE", "ROW", "TMP", "WORD", "identified", "plus", "store", "with_text"]
+
 #: A word, as a regular expression that Java, Python and RE2 read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Prefix of the columns that operators add on the way, so that a table may have any other name.
 TMP = "__sl_"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared checkpoint folder and read it back.
-
-    Every executor sees that folder, so that a lost executor costs a task and not the stages before it. The folder
-    is the application's own and goes with it.
-    """
-    spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir() or own_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def own_dir(spark: SparkSession) -> str:
-    """Only where the session names no folder, as in tests."""
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def with_text(batches, make: Callable):
     """Arrow batches with what ``make`` returns for the column ``text`` (UTF-8 bytes, null as None): names and arrays that replace or follow the columns."""
     import pyarrow as pa
@@ -60,11 +37,6 @@ def plus(df: DataFrame, more: str):
     return StructType(kept + list(new.values()))
 
 
-def wide_hash(column: Column) -> list[Column]:
-    """Two independent 64-bit hashes: together too wide for chance collisions among 10^13 values."""
-    return [F.xxhash64(F.lit(11), column), F.xxhash64(F.lit(29), column)]
-
-
 FILE, ROW = f"{TMP}file", f"{TMP}row"
 
 

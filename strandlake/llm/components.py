@@ -1,33 +1,16 @@
-"""Connected components of a graph of any size."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import store
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (``a, b``, longs), the root being the smallest node that it is joined to.
-
-    Large-star and small-star steps in turn, each a minimum per node (summed up map-side) and a join that Spark may split
-    at hubs, stored after each turn; the number of turns grows with the logarithm of the longest path. Edges never meet
-    in one task or on the driver; only a count and a checksum do. Loops and repeated edges are allowed.
-    """
-    edges = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    now, sign = edges.where("a > b"), None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        now = store(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = store(now.groupBy("a").agg(F.min("b").alias("m")))
-        hung = now.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = store(hung.unionByName(least.withColumnRenamed("m", "b")).distinct())
-        new = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if new == sign:
-            break
-        sign = new
-    found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
+    """``node, root`` for every node of ``edges`` (``a, b``, longs), the root being the smallest node that it is joined to. Loops and repeated edges are allowed."""
+    edges = store(edges.select("a", "b").distinct())
+    found = connected(edges.select(F.explode(F.array("a", "b")).alias("node")), edges)
+    return found.withColumnRenamed("component", "root")
