@@ -26,13 +26,17 @@ def chain_edges(held: DataFrame, node: str, by: str) -> DataFrame:
 
 
 def connected(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """``node, component`` with the least node as the component: alternating large-star and small-star steps, stored after each turn. Nodes without edges are their own component."""
+    """``node, component`` with the least node as the component: alternating large-star and small-star steps. Nodes without edges are their own component.
+
+    Each step is a minimum per node, summed up map-side and stored, and a join of two stored tables, which Spark may split
+    at hubs. Turns grow with the logarithm of the longest path; only a count and a checksum reach the driver.
+    """
     now, sign = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         now = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(now.groupBy("a").agg(F.min("b").alias("m")))
         moved = now.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(moved.unionByName(least.withColumnRenamed("m", "b")).distinct())
         new = tuple(now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
