@@ -15,8 +15,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+#: What string literals write for a character: line ends and tabs, slashes, code points; also a line end after a backslash.
+ESCAPE = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|([nrt])|(/)|\r?\n)")
+HEADERS = re.compile(r"\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)+)")
+LOCKED = re.compile(r"Proc-Type:\s*4\s*,\s*ENCRYPTED\s.*DEK-Info:\s*([A-Za-z0-9-]+)\s*,\s*([0-9A-Fa-f]+)\s", re.S)
 CODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Coded text over lines, whose ends may be escaped.
+BREAK = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{BREAK}[A-Za-z0-9+/_-]+)*+")
+BLANK = " \t\r\n\\"
+LINE = re.compile(rf"[A-Za-z0-9+/_-]+|{BREAK}")
+#: How base64 of a DER sequence and of the other form's name begins; what a DER key's first bytes are; base64 of "-----BEGIN " at each of three places.
+START = re.compile(r"M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA")
+HEAD = re.compile(rb"0(?:[\0-\x7f]|\x81.|\x82..|\x83...|\x84....)(?:\x02\x01[\0\1]|0(?:[\0-\x7f]|\x81.|\x82..)\x06.\*\x86H\x86\xf7\r\x01(?:\x05|\x0c\x01))", re.S)
+ARMOUR_CODED = re.compile(r"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
 ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 KINDS = ("assign", "access", "hex", "signed", "armour", "key")
 
@@ -73,23 +86,28 @@ def der_key(data: bytes) -> str:
     return ""
 
 
-def ssh_key(data: bytes) -> str:
-    """A private key in the form that begins with its name, whose four leading strings have lengths that fit."""
+def ssh_end(data: bytes) -> int:
+    """Where a private key in the form that begins with its name ends, whose four leading strings have lengths that fit; 0 for none."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return ""
+        return 0
     at = len(magic)
     for _ in range(3):
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4 + n
         if at > len(data):
-            return ""
+            return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     for _ in range(min(keys, 64) + 1):
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4 + n
-    return "ssh" if 1 <= keys <= 64 and at == len(data) else ""
+    return at if 1 <= keys <= 64 and at <= len(data) else 0
+
+
+def ssh_key(data: bytes) -> str:
+    """"ssh" if ``data`` is a key of that form and no more."""
+    return "ssh" if data and ssh_end(data) == len(data) else ""
 
 
 def decode64(text: str) -> bytes:
@@ -112,6 +130,66 @@ def signed_header(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def unescaped(text: str) -> str:
+    """``text`` with what string literals escape within coded text put back."""
+    return ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else {"n": "\n", "r": "\r", "t": "\t"}[m[2]] if m[2] else m[3] or "\n", text)
+
+
+def armoured_key(label: str, body: str) -> bool:
+    """Whether an armoured block holds a private key, bare or in a string literal; of one locked by a pass phrase, which can't be read, the headers and the whole number of cipher blocks tell."""
+    body = unescaped(body)
+    headers = HEADERS.match(body)
+    data = decode64(re.sub(r"\s", "", body[headers.end() :] if headers else body))
+    if der_key(data) or ssh_key(data):
+        return True
+    locked = headers and label.endswith("PRIVATE KEY") and LOCKED.search(headers[1])
+    return bool(locked and data and (not locked[1].upper().endswith("CBC") or len(locked[2]) in (16, 32) and len(data) % (len(locked[2]) // 2) == 0))
+
+
+def place(text: str, region: re.Match, n: int) -> int:
+    """Where in ``text`` the coded character ``n`` of a region is."""
+    for x in LINE.finditer(text, region.start(), region.end()):
+        if x[0][0] not in BLANK:
+            if n < len(x[0]):
+                return x.start() + n
+            n -= len(x[0])
+    raise IndexError(n)
+
+
+def loose64(text: str) -> bytes:
+    """What ``text`` without padding stands for in either alphabet or both, but for a last character that is too much."""
+    text = text[: len(text) - (len(text) % 4 == 1)]
+    return base64.b64decode(text.replace("-", "+").replace("_", "/") + "=" * (-len(text) % 4))
+
+
+def coded_keys(text: str, region: re.Match) -> list[tuple[int, int]]:
+    """Spans of the private keys within a region of base64 lines, wherever they begin: in DER, by name, or as an armoured block that is itself coded."""
+    bare = "".join(x for x in LINE.findall(region[0]) if x[0] not in BLANK)
+    spans, end = [], 0
+    for s in START.finditer(bare):
+        at, named = s.start(), s[0][0] == "b"
+        if at < end or at and not named and not HEAD.match(loose64(bare[at : at + 36])):
+            continue
+        data = loose64(bare[at:])
+        top = None if named else tlv(data, 0, len(data))
+        n = ssh_end(data) if named else top[2] if top else 0
+        to = at - (-n * 4 // 3)
+        if n and (named or der_key(data[:n])) and decode64(bare[at:to]):
+            spans.append((at, to))
+            end = to
+    if ARMOUR_CODED.search(bare):
+        for skip in range(4):
+            data = loose64(bare[skip:]).decode("latin-1")
+            for m in ARMOUR.finditer(data) if "-----BEGIN " in data else ():
+                if armoured_key(m[1], m[2]):
+                    spans.append((skip + m.start() // 3 * 4, min(skip - (-m.end() // 3 * 4), len(bare))))
+    out = []
+    for a, b in sorted(spans):
+        last = place(text, region, b - 1) + 1
+        out.append((place(text, region, a), last + len(re.match("={0,2}", text[last : last + 2])[0])))
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then as kinds are listed in ``KINDS``.
 
@@ -133,15 +211,14 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
                 taken.append(m.span())
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            data = decode64(re.sub(r"\s", "", m[2]))
-            if der_key(data) or ssh_key(data):
+            if armoured_key(m[1], m[2]):
                 found.append(("armour", *m.span()))
                 taken.append(m.span())
-    for m in CODED.finditer(text):
-        # Keys in either form begin with one of two bytes; most runs of letters are told apart by their first letters.
-        data = decode64(m[0]) if m[0][:1] in "Mb" else b""
-        if (der_key(data) or ssh_key(data)) and not any(a <= m.start() < b for a, b in taken):
-            found.append(("key", *m.span()))
+    end = 0
+    while m := CODED.search(text, end):
+        region = WRAPPED.match(text, m.start())
+        found += [("key", a, b) for a, b in coded_keys(text, region) if not any(x <= a < y for x, y in taken)]
+        end = region.end()
     for m in ANY_HEX.finditer(text):
         data = bytes.fromhex(m[0]) if m[0][:2] in ("30", "6f", "6F") else b""
         if der_key(data) or ssh_key(data):

@@ -124,6 +124,50 @@ def test_keys_are_confirmed_by_their_lengths(data):
     assert ("armour", 0, len(armoured)) in secrets.find_secrets(armoured)
 
 
+PEM = f"-----BEGIN PRIVATE KEY-----\n{base64.encodebytes(PKCS8).decode()}-----END PRIVATE KEY-----"
+LOCKED = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{base64.encodebytes(bytes(range(256))).decode()}-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("pem", [PEM, PEM.replace("\n", "\r\n"), LOCKED])
+def test_armour_in_string_literals(pem):
+    for said in (pem, json.dumps(pem), json.dumps(json.dumps(pem)), json.dumps(pem).replace("/", "\\/").replace("=", "\\u003d")):
+        text = "KEY=" + said + ";"
+        a, b = text.index("-----BEGIN"), text.rindex("KEY-----") + 8
+        assert [x for x in secrets.find_secrets(text) if x[0] in ("armour", "key")] == [("armour", a, b)]
+
+
+def test_locked_armour_needs_whole_blocks():
+    body = base64.b64encode(bytes(250)).decode()
+    assert secrets.find_secrets(re.sub(r"\n\n[^-]+", f"\n\n{body}\n", LOCKED)) == []
+    assert secrets.find_secrets(LOCKED.replace("PRIVATE KEY", "CERTIFICATE")) == []
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, EC])
+def test_keys_that_begin_and_end_within_a_run(data):
+    coded = base64.b64encode(data).decode()
+    lines = base64.encodebytes(data).decode().strip()
+    for text, a, b in [
+        ("x \\n" + coded + " y", 4, 4 + len(coded)),
+        ("id_" + coded.replace("+", "-").replace("/", "_") + " y", 3, 3 + len(coded)),
+        (json.dumps("\n" + lines + "\nend"), 3, 1 + len(json.dumps("\n" + lines)) - 2),
+        ("k:\n  " + lines.replace("\n", "\n  ") + "\n", 5, 5 + len(lines.replace("\n", "\n  "))),
+    ]:
+        assert [x for x in secrets.find_secrets(text) if x[0] == "key"] == [("key", a, b)]
+
+
+@pytest.mark.parametrize("pem", [PEM, LOCKED, json.dumps({"type": "account", "private_key": PEM})])
+@pytest.mark.parametrize("wrap", [0, 57, 75])
+@pytest.mark.parametrize("before", ["", " ", "\n "])
+def test_armour_that_is_itself_coded(pem, wrap, before):
+    coded = base64.b64encode((before + pem).encode()).decode()
+    if wrap:
+        coded = "\n".join(coded[i : i + wrap] for i in range(0, len(coded), wrap))
+    (x,) = [x for x in secrets.find_secrets("tls.key: " + coded + "\n") if x[0] == "key"]
+    assert 9 <= x[1] <= 9 + (before + pem).index("-----BEGIN") * 4 // 3 + 4 and len(coded) - 8 - len(coded) // 57 <= x[2] - 9 <= len(coded)
+    certificate = base64.b64encode(pem.replace("PRIVATE KEY", "CERTIFICATE").replace("MI", "MJ").encode()).decode()
+    assert not any(k == "key" for k, *_ in secrets.find_secrets(certificate))
+
+
 def test_signed_tokens():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
     good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.{'A' * 43}"
