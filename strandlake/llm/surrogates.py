@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FILE, ROW, TMP, identified, store
@@ -26,6 +27,26 @@ TITLES = set("Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señor
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
 CLASS_OF = {c: k for k in CLASSES for c in k}
 
+
+def upper(c: str) -> str:
+    """The one capital letter of ``c``."""
+    return "ẞ" if c == "ß" else c.upper()
+
+
+@lru_cache(maxsize=10_000)
+def class_of(c: str) -> str:
+    """The class of a letter or digit in either case: of those above, or else the other letters of its 128 code points that have case like it; "" for what is kept."""
+    c = c.lower()
+    if c in CLASS_OF or len(c) > 1 or not c.isalpha():
+        return CLASS_OF.get(c, "")
+
+    def cased(x):
+        return x.lower() == x and (0 if x.upper() == x else 1 if len(upper(x)) == 1 and upper(x).isupper() and upper(x).lower() == x else None)
+
+    first, own = ord(c) & ~127, cased(c)
+    return "" if own is None or own is False else "".join(x for x in map(chr, range(first, first + 128)) if x.isalpha() and x not in CLASS_OF and cased(x) is not False and cased(x) == own)
+
+
 ADDRESS_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 ADDRESS_RIGHT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 NUMBERS = re.compile(
@@ -101,12 +122,12 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def permuted(key: bytes, tweak: str, x: int, n: int, rounds: int = 24) -> int:
-    """The image of ``x`` under a keyed permutation of [0, n): swap-or-not, a bijection for every n."""
+def permuted(key: bytes, tweak: str, x: int, n: int, rounds: int = 24, back: bool = False) -> int:
+    """The image of ``x`` under a keyed permutation of [0, n), or with ``back`` what ``x`` is the image of: swap-or-not, a bijection for every n."""
     if n < 2:
         return x
     size = (n.bit_length() + 7) // 8
-    for r in range(rounds):
+    for r in range(rounds)[:: -1 if back else 1]:
         head = f"{tweak}/{n}/{r}".encode()
         k = int.from_bytes(blake2b(head, key=key, digest_size=min(64, size + 8)).digest(), "big") % n
         partner = (k - x) % n
@@ -116,24 +137,41 @@ def permuted(key: bytes, tweak: str, x: int, n: int, rounds: int = 24) -> int:
     return x
 
 
-def same_shape(key: bytes, tweak: str, text: str, ok=None) -> str:
-    """``text`` with each letter and digit replaced within its class and case, by a permutation of all texts of its shape; with ``ok``, of those that it holds of (the permutation is walked on until it does)."""
-    classes = [CLASS_OF.get(c.lower(), "") for c in text]
+def following(key: bytes, tweak: str, x: int, n: int) -> int:
+    """What follows ``x`` when [0, n) is put in a keyed order and closed to a ring: one to one, and never ``x`` itself if n > 1."""
+    return permuted(key, tweak, (permuted(key, tweak, x, n, back=True) + 1) % n, n)
+
+
+def place_in_shape(text: str) -> tuple[int, int]:
+    """How many texts have the shape of ``text``, and its place among them."""
     n, x = 1, 0
-    for c, k in zip(text, classes):
-        if k:
+    for c in text:
+        if k := class_of(c):
             n, x = n * len(k), x * len(k) + k.index(c.lower())
-    tweak = f"{tweak}/" + "".join(str(CLASSES.index(k)) if k else c for c, k in zip(text, classes))
+    return n, x
+
+
+def in_shape(text: str, x: int) -> str:
+    """The text at place ``x`` of the shape of ``text``."""
+    out = []
+    for c in reversed(text):
+        if k := class_of(c):
+            x, i = divmod(x, len(k))
+            out.append(upper(k[i]) if c.isupper() else k[i])
+        else:
+            out.append(c)
+    return "".join(reversed(out))
+
+
+def same_shape(key: bytes, tweak: str, text: str, ok=None, step=permuted) -> str:
+    """``text`` with each letter and digit replaced within its class and case, by a permutation of all texts of its shape; with ``ok``, of those that it holds of (the permutation is walked on until it does). A text without letters and digits gets some."""
+    n, x = place_in_shape(text)
+    if n == 1 and text:
+        return text + in_shape("bababababa", int.from_bytes(blake2b(f"{tweak}/{text}".encode(), key=key, digest_size=8).digest(), "big"))
+    tweak = f"{tweak}/" + "".join((str(CLASSES.index(k)) if k in CLASSES else k[0]) if k else c for c, k in ((c, class_of(c)) for c in text))
     while True:
-        x = permuted(key, tweak, x, n)
-        y, out = x, []
-        for c, k in zip(reversed(text), reversed(classes)):
-            if k:
-                y, i = divmod(y, len(k))
-                out.append(k[i].upper() if c.isupper() else k[i])
-            else:
-                out.append(c)
-        new = "".join(reversed(out))
+        x = step(key, tweak, x, n)
+        new = in_shape(text, x)
         if ok is None or ok(new):
             return new
 
@@ -154,40 +192,97 @@ def ip_range(x: int) -> tuple[int, int]:
     return 0, 1 << 32
 
 
-def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
-    """The surrogate of a canonical form, itself canonical: one to one among the forms of a kind and shape at one ``attempt``."""
-    tweak = f"{kind}/{attempt}"
+def written(x: int) -> str:
+    """The address ``x``."""
+    return ".".join(str(x >> b & 255) for b in (24, 16, 8, 0))
+
+
+def iban_with(country: str, body: str, odd: bool) -> str:
+    """The account number with ``body``; with ``odd``, the one with the other check digits of the same remainder, "" if there is none."""
+    check = 98 - iban_check(country + "00" + body)
+    if odd:
+        return country + {2: "99", 97: "00", 98: "01"}[check] + body if check in (2, 97, 98) else ""
+    return f"{country}{check:02d}{body}"
+
+
+def frame(kind: str, form: str):
+    """What of a canonical form is replaced, how a form is made of that, what must hold of it (None: nothing), and what tells its kind of form apart besides its shape."""
     if kind == "email":
-        local, _, domain = form.partition("@")
-        labels = domain.split(".")
-        return same_shape(key, tweak, local) + "@" + same_shape(key, f"{tweak}/domain", ".".join(labels[:-1])) + "." + labels[-1]
-    if kind == "ip":
-        a, b, c, d = map(int, form.split("."))
-        x = a << 24 | b << 16 | c << 8 | d
-        base, size = ip_range(x)
-        while True:
-            x = base + permuted(key, f"{tweak}/{base}", x - base, size)
-            if ip_range(x)[0] == base and (base or 1 <= x >> 24 < 224) or not base and not 1 <= (int(form.split(".")[0])) < 224:
-                return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        body, _, last = form.rpartition(".")
+        return body, lambda new: f"{new}.{last}", None, last
     if kind == "card":
         if luhn(form) == 0:
-            head = form[0] + same_shape(key, tweak, form[1:-1])
-            return head + str((10 - luhn(head + "0")) % 10)
-        return form[0] + same_shape(key, f"{tweak}/{form[0]}", form[1:], lambda new: luhn(form[0] + new) != 0)
-    if kind == "phone" and len(form) == 10 and form[0] in "23456789":
-        return same_shape(key, tweak, form, lambda new: new[0] in "23456789")
+            return form[1:-1], lambda new: f"{form[0]}{new}{(10 - luhn(form[0] + new + '0')) % 10}", None, form[0] + "/valid"
+        return form[1:], lambda new: form[0] + new, lambda new: luhn(form[0] + new) != 0, form[0]
+    if kind == "phone" and len(form) == 10:
+        area = form[0] in "23456789"
+        return form, str, lambda new: (new[0] in "23456789") == area, str(area)
     if kind == "iban":
-        body = same_shape(key, f"{tweak}/{form[:2]}", form[4:])
-        return form[:2] + f"{98 - iban_check(form[:2] + '00' + body):02d}" + body
+        country, odd = form[:2], not 2 <= int(form[2:4]) <= 98
+        return form[4:], lambda new: iban_with(country, new, odd), (lambda new: iban_with(country, new, True)) if odd else None, f"{country}/{odd}"
+    return form, str, None, ""
+
+
+def ip_place(form: str) -> tuple[int, int, int, bool]:
+    """An address's special range and its size, its place in it, and whether it is one of those that hosts have."""
+    a, b, c, d = map(int, form.split("."))
+    x = a << 24 | b << 16 | c << 8 | d
+    base, size = ip_range(x)
+    return base, size, x - base, bool(base or 1 <= a < 224)
+
+
+def ip_at(base: int, size: int, x: int, host: bool) -> str:
+    """The address at a place of a range, "" if it belongs to another."""
+    new = written(base + x)
+    return new if ip_place(new) == (base, size, x, host) else ""
+
+
+def surrogate(key: bytes, kind: str, form: str, attempt: int = 0, step=permuted) -> str:
+    """The surrogate of a canonical form, itself canonical: one to one among the forms of a kind and shape at one ``attempt``, and within that shape. With ``following`` for ``step`` it is never the form itself."""
+    tweak = f"{kind}/{attempt}"
+    if kind == "ip":
+        base, size, x, host = ip_place(form)
+        while True:
+            x = step(key, f"{tweak}/{base}", x, size)
+            if new := ip_at(base, size, x, host):
+                return new
     if kind == "given" and form in WHO:
         return next_name(key, f"{tweak}/{WHO[form]}", form)
-    return same_shape(key, tweak, form)
+    body, make, ok, more = frame(kind, form)
+    return make(same_shape(key, f"{tweak}/{more}" if more else tweak, body, ok, step))
+
+
+def shape_of(kind: str, form: str) -> tuple[str, int]:
+    """What forms that share their possible surrogates have in common, and about how many such forms there are (2**62 for more, and for names that come from a ring)."""
+    if kind == "given" and form in WHO:
+        return "/".join(WHO[form]), 1 << 62
+    if kind == "ip":
+        base, size, _, host = ip_place(form)
+        return f"{base}/{host}", size if base else size >> 4
+    body, _, ok, more = frame(kind, form)
+    n = place_in_shape(body)[0]
+    if n == 1:
+        return f"{body}/{more}", 1 << 62
+    return f"{in_shape(body, 0)}/{more}", min(n * 3 // 97 if kind == "iban" and ok else n, 1 << 62)
+
+
+def forms_of(kind: str, form: str, first: int, many: int):
+    """The forms at ``many`` places from ``first`` of the shape of ``form``."""
+    if kind == "ip":
+        base, size, _, host = ip_place(form)
+        yield from filter(None, (ip_at(base, size, x, host) for x in range(first, min(first + many, size))))
+        return
+    body, make, ok, _ = frame(kind, form)
+    for x in range(first, min(first + many, place_in_shape(body)[0])):
+        new = in_shape(body, x)
+        if ok is None or ok(new):
+            yield make(new)
 
 
 def laid_out(kind: str, said: str, form: str, new: str) -> str:
     """The surrogate ``new`` in the layout of ``said``: case of letters, or punctuation and country code."""
     if kind == "email":
-        return "".join(b.upper() if a.isupper() else b for a, b in zip(said, new))
+        return "".join(b.upper() if a.isupper() else b for a, b in zip(said, new)) + new[len(said) :]
     if kind == "ip" or kind in ("given", "family"):
         return new
     if kind == "iban":
@@ -205,8 +300,8 @@ def laid_out(kind: str, said: str, form: str, new: str) -> str:
 
 
 @lru_cache(maxsize=100_000)
-def known(key: bytes, kind: str, form: str, attempt: int) -> str:
-    return surrogate(key, kind, form, attempt)
+def known(key: bytes, kind: str, form: str) -> str:
+    return surrogate(key, kind, form)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -222,40 +317,100 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(find, "kind string, form string")
 
 
-def collisions(docs: DataFrame, key: bytes, most_attempts: int = 20) -> DataFrame:
-    """``kind, form, attempt`` of the entities whose first surrogate won't do.
-
-    All distinct entities and their surrogates are compared as tables: of several entities with one surrogate the least
-    keeps it, and a surrogate that is itself an entity of the corpus is given to none. The others try the next
-    permutation until nothing collides. What repeats is put together map-side, so an entity of every document is no hot key.
-    """
+def in_batches(df: DataFrame, make, schema: str) -> DataFrame:
+    """The rows that ``make`` gives for the rows (as tuples) of each batch of ``df``."""
 
-    def tried(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            kinds, forms, attempts = (batch.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, *x) for x in zip(kinds, forms, attempts)], pa.string())], [*batch.schema.names, "new"])
+            rows = make(zip(*(c.to_pylist() for c in batch.columns)))
+            while part := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_pydict({n: [r[i] for r in part] for i, n in enumerate(names)}, wanted)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    import pyarrow as pa
+
+    wanted = pa.schema([(n, pa.int64() if f.endswith(" long") else pa.string()) for n, f in zip(names, schema.split(", "))])
+    return df.mapInArrow(run, schema)
+
+
+def numbered(df: DataFrame, shape: list[str], place: str) -> DataFrame:
+    """``df`` with ``rank``, from 1 on within each shape without gaps, in the order of ``place`` within each of 64 parts."""
+    part = df.withColumn("part", F.pmod(place, F.lit(64)))
+    before = Window.partitionBy(*shape).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = part.groupBy(*shape, "part").agg(F.count(F.lit(1)).alias("n")).select(*shape, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(*shape, "part").orderBy(place, "form"))).join(shift, [*shape, "part"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
+
+
+def crowded(all_: DataFrame, full: DataFrame, key: bytes) -> DataFrame:
+    """``kind, form, new`` for all forms of the shapes in ``full``, of which the corpus has over a quarter.
+
+    Where there are enough forms that aren't entities, each entity gets one of these by rank in a keyed order; else the
+    one that follows it in a keyed ring of the whole shape, which is an entity's at times, but one to one and never its own.
+    """
+
+    def placed(rows):
+        return ((k, s, f, int.from_bytes(blake2b(f.encode(), key=key, digest_size=8, person=b"place").digest(), "big", signed=True)) for k, s, f in rows)
+
+    def spread(rows):
+        return placed((k, s, f) for k, s, one, first in rows for f in forms_of(k, one, first, 4096))
+
+    shape, said = ["kind", "shape"], "kind string, shape string, form string, place long"
+    starts = full.select(*shape, "one", F.explode(F.expr("sequence(0L, whole - 1, 4096L)")).alias("first")).repartition(*shape, "first")
+    free = store(in_batches(starts, spread, said).join(all_.select("kind", "form"), ["kind", "form"], "left_anti"))
+    enough = store(full.join(free.groupBy(*shape).agg(F.count(F.lit(1)).alias("free")), shape).where("free >= n").select(*shape))
+    ours = all_.join(full.select(*shape), shape).select("kind", "shape", "form")
+    ranked = numbered(in_batches(ours.join(enough, shape), placed, said), shape, "place").select(*shape, "form", "rank")
+    given = numbered(free.join(enough, shape), shape, "place").select(*shape, F.col("form").alias("new"), "rank")
+    ring = in_batches(ours.join(enough, shape, "left_anti").select("kind", "form"), lambda rows: ((k, f, surrogate(key, k, f, step=following)) for k, f in rows), "kind string, form string, new string")
+    return store(ranked.join(given, [*shape, "rank"]).select("kind", "form", "new").unionByName(ring))
+
+
+def collisions(docs: DataFrame, key: bytes, most_attempts: int = 1000) -> DataFrame:
+    """``kind, form, new`` of the entities whose first surrogate won't do, with the one that they have instead.
+
+    All distinct entities and their surrogates are compared as tables: of several entities with one surrogate the least
+    keeps it, and a surrogate that is itself an entity of the corpus is given to none. The others try the next
+    permutation until nothing collides; at least half of a shape is free then, as shapes of which the corpus has more than
+    a quarter are ``crowded``. What repeats is put together map-side, so an entity of every document is no hot key.
+    ``most_attempts`` without an end are an error.
+    """
 
-    all_ = store(entities(docs).distinct())
-    now = store(all_.withColumn("attempt", F.lit(0)).mapInArrow(tried, "kind string, form string, attempt int, new string"))
-    for _ in range(most_attempts):
+    def tried(rows):
+        return ((*x, surrogate(key, *x)) for x in rows)
+
+    def shaped(rows):
+        return ((k, f, *shape_of(k, f)) for k, f in rows)
+
+    said = "kind string, form string, attempt long, new string"
+    all_ = store(in_batches(entities(docs).distinct(), shaped, "kind string, form string, shape string, room long"))
+    full = all_.groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("room"), F.min("form").alias("one")).where("n > room / 4")
+    full = store(in_batches(full.select("kind", "shape", "one", "n"), lambda rows: ((*x, ip_place(x[2])[1] if x[0] == "ip" else place_in_shape(frame(x[0], x[2])[0])[0]) for x in rows), "kind string, shape string, one string, n long, whole long"))
+    done, rest = None, all_
+    if not full.isEmpty():
+        done, rest = crowded(all_, full, key), all_.join(full, ["kind", "shape"], "left_anti")
+    now = store(in_batches(rest.select("kind", "form", F.lit(0).cast("long")), tried, said))
+    for attempt in range(most_attempts + 1):
         taken = now.groupBy("kind", "new").agg(F.min("form").alias("keeper"))
         real = all_.select("kind", F.col("form").alias("new"), F.lit(True).alias("real"))
         judged = now.join(taken, ["kind", "new"]).join(real, ["kind", "new"], "left")
         judged = store(judged.withColumn("bad", (F.col("form") != F.col("keeper")) | (F.col("real").isNotNull() & (F.col("kind") != "given"))))
-        bad = judged.where("bad").select("kind", "form", (F.col("attempt") + 1).alias("attempt"))
+        bad = judged.where("bad").select("kind", "form", F.col("attempt") + 1)
         if bad.isEmpty():
             break
-        now = store(judged.where("not bad").select("kind", "form", "attempt", "new").unionByName(bad.mapInArrow(tried, "kind string, form string, attempt int, new string")))
-    return now.where("attempt > 0").select("kind", "form", "attempt")
+        if attempt == most_attempts:
+            raise RuntimeError(f"surrogates still collide after {most_attempts} attempts")
+        now = store(judged.where("not bad").select("kind", "form", "attempt", "new").unionByName(in_batches(bad, tried, said)))
+    apart = now.where("attempt > 0").select("kind", "form", "new")
+    return apart if done is None else apart.unionByName(done)
 
 
 def replace_entities(docs: DataFrame, key: bytes, most_sent: int = 20_000) -> DataFrame:
     """``docs`` with ``text`` under surrogates and ``entities`` (array of kind, start, end in code points of the old text).
 
     Surrogates are keyed and need no table: an entity has one everywhere, in any layout, and different entities of a kind
-    have different ones, since each comes from a permutation; ``collisions`` finds the rare exceptions. Up to ``most_sent``
+    have different ones, since each comes from a permutation; ``collisions`` finds the rare exceptions and their surrogates. Up to ``most_sent``
     of these go to the tasks with the code; if there are more, each text meets its own by a join. Cards keep their issuer
     digit and check sum, numbers their layout and country code, addresses their shape and top-level domain, given
     names their script and gender, other names the shape and script of their letters; titles stay.
@@ -269,7 +424,7 @@ def replace_entities(docs: DataFrame, key: bytes, most_sent: int = 20_000) -> Da
 
     apart = store(collisions(docs, key))
     few = apart.limit(most_sent + 1).collect()
-    sent = {(r["kind"], r["form"]): r["attempt"] for r in few} if len(few) <= most_sent else {}
+    sent = {(r["kind"], r["form"]): r["new"] for r in few} if len(few) <= most_sent else {}
     source, names = docs, docs.columns
     if len(few) > most_sent:
         source = identified(docs)
@@ -280,7 +435,7 @@ def replace_entities(docs: DataFrame, key: bytes, most_sent: int = 20_000) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], [FILE, ROW, "kind", "form"])
 
         own = source.select(FILE, ROW, "text").mapInArrow(where, f"{FILE} long, {ROW} long, kind string, form string").join(apart, ["kind", "form"])
-        own = own.groupBy(FILE, ROW).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "kind", "form"), "attempt"))).alias(f"{TMP}apart"))
+        own = own.groupBy(FILE, ROW).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "kind", "form"), "new"))).alias(f"{TMP}apart"))
         source = source.join(own, [FILE, ROW], "left").select(*names, f"{TMP}apart")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -292,8 +447,8 @@ def replace_entities(docs: DataFrame, key: bytes, most_sent: int = 20_000) -> Da
             for i, text in enumerate(batch.column(at).to_pylist()):
                 out, end, own = [], 0, []
                 for a, b, what, form in find_entities(text or ""):
-                    attempt = maps[i].get(f"{what}/{form}", 0) if maps else sent.get((what, form), 0)
-                    out += [text[end:a], laid_out(what, text[a:b], form, known(key, what, form, attempt))]
+                    new = maps[i].get(f"{what}/{form}") if maps else sent.get((what, form))
+                    out += [text[end:a], laid_out(what, text[a:b], form, known(key, what, form) if new is None else new)]
                     own.append({"kind": what, "start": a, "end": b})
                     end = b
                 texts.append("".join([*out, text[end:]]) if own else text)

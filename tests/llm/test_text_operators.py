@@ -240,6 +240,35 @@ def test_surrogates_that_collide_are_drawn_anew(rows):
     assert few == joined and len(set(few)) == 2 and f"see {said} here" not in few
 
 
+@pytest.mark.parametrize("many", [30, 50, 90, 105])
+def test_surrogates_of_crowded_shapes(rows, many):
+    key, names = b"k", [f"{a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"][:many]
+    docs = rows([(i, f"Anna {n} x") for i, n in enumerate(names)])
+    new = {r.doc_id: r.text.split()[1] for r in surrogates.replace_entities(docs, key).collect()}
+    assert len(set(new.values())) == many and all(new[i] != n for i, n in enumerate(names))
+    if many <= 52:
+        assert not set(new.values()) & set(names)
+    assert new == {r.doc_id: r.text.split()[1] for r in surrogates.replace_entities(docs, key, most_sent=0).collect()}
+
+
+def test_crowded_addresses_and_odd_letters(rows):
+    said = [f"192.168.{a}.{b}" for a in range(160) for b in range(256)]
+    docs = rows([(i, f"at {' '.join(said[i::8])} sat Anna Øå.") for i in range(8)])
+    got = surrogates.replace_entities(docs, b"k").collect()
+    new = {s: n for r in got for s, n in zip(said[r.doc_id :: 8], re.findall(r"192[.\d]+", r.text))}
+    assert len(new) == len(set(new.values())) == len(said) and all(a != b for a, b in new.items())
+    assert len({re.search(r"sat \w+ (\w+)", r.text)[1] for r in got} - {"Øå"}) == 1
+
+
+@pytest.mark.parametrize("kind, forms", [("iban", ["GB98AAAA00000000000000", "GB01AAAA00000000000000"]), ("family", ["ÇA", "ÑA", "Øå", "×’"]), ("ip", ["224.0.0.1", "0.0.0.0", "8.8.8.8"]), ("phone", ["0123456789", "1123456789", "2123456789"])])
+def test_surrogates_stay_in_their_shape(kind, forms):
+    for step in (surrogates.permuted, surrogates.following):
+        new = [surrogates.surrogate(b"k", kind, f, step=step) for f in forms]
+        assert len(set(new)) == len(forms)
+        assert all(surrogates.shape_of(kind, a)[0] == surrogates.shape_of(kind, b)[0] for a, b in zip(forms, new) if a != "×’")
+    assert not set(new) & set(forms)
+
+
 @given(st.lists(st.tuples(st.text(alphabet="ua\\<|\n>", max_size=5), st.text(alphabet="<|im_end>\\ \nstarx", max_size=30)), max_size=5))
 @settings(max_examples=300, deadline=None)
 def test_template_round_trip(turns):
