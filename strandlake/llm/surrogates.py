@@ -61,7 +61,12 @@ NUMBERS = re.compile(
     re.X | re.A,
 )
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-NAMES = re.compile(r"(?<!\w)([A-ZÀ-ÞА-ЯЁ][\w'’-]+)\.? ([A-ZÀ-ÞА-ЯЁ][\w'’-]+)(?: ([A-ZÀ-ÞА-ЯЁ][\w'’-]+))?")
+NAMES = re.compile(rf"(?<!\w)(?=[A-ZÀ-ÞА-ЯЁ])({'|'.join(sorted([*WHO, *TITLES], key=len, reverse=True))})(\.?)(\s+)([A-ZÀ-ÞА-ЯЁ][\w'’-]+)(?:(\s+)([A-ZÀ-ÞА-ЯЁ][\w'’-]+))?")
+CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÞА-ЯЁ][\w'’-]*")
+#: What follows a part of a name and is none of it.
+ENDING = re.compile(r"(?:['’]s)?['’-]*\Z")
+#: Words that begin sentences: no names on a line of their own, and not looked for elsewhere.
+NO_NAMES = set("After All Also And As At Before Both But By For From He Here How However If In It Its Later No Not Now On Or Our She So Since That The Their Then There These They This Those Thus To Was We Were What When Where Which While Who Why With Yes You Your".split())
 
 
 def iban_check(text: str) -> int:
@@ -79,7 +84,10 @@ def luhn(digits: str) -> int:
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) without overlaps, in order. Forms that mean the same have one canonical form: an address in lower case, the digits of a number without its country code."""
+    """(start, end, kind, canonical form) without overlaps, in order. Forms that mean the same have one canonical form: an address in lower case, the digits of a number without its country code.
+
+    Names are found by a title or listed given name with what follows it; wherever else their parts are in the text, they are found too.
+    """
     found = []
     at = text.find("@")
     while at >= 0:
@@ -106,13 +114,26 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         bare = m[0].replace(" ", "")
         if 15 <= len(bare) <= 34 and iban_check(bare) == 1:
             found.append((*m.span(), "iban", bare))
+    own: dict[str, str] = {}
+    starts = set()
     for m in NAMES.finditer(text):
         titled = m[1] in TITLES
-        if titled or m[1] in WHO:
-            parts = [k for k in (1, 2, 3) if m[k]][titled:]
-            for i, k in enumerate(parts):
-                given = m[k] in WHO and i == 0 or not titled and i == 0
-                found.append((*m.span(k), "given" if given else "family", m[k]))
+        for k, blank in ((1, ""), (4, m[3]), (6, m[5])):
+            if not m[k] or titled and k == 1:
+                continue
+            said = m[k][: ENDING.search(m[k]).start()] or m[k]
+            if said in NO_NAMES and blank not in ("", " "):
+                break
+            kind = "given" if k == 1 or titled and k == 4 and said in WHO else "family"
+            found.append((m.start(k), m.start(k) + len(said), kind, said))
+            starts.add(m.start(k))
+            if said not in NO_NAMES and (titled or k == 1 or not m[2]) and blank.count("\n") < 2:
+                own.setdefault(said, kind)
+    for m in CAPITAL.finditer(text) if own else ():
+        said = m[0][: ENDING.search(m[0]).start()]
+        for at, part in [(0, said)] if said in own else [(x.start(), x[0]) for x in re.finditer(r"\w+", said)]:
+            if part in own and m.start() + at not in starts:
+                found.append((m.start() + at, m.start() + at + len(part), own[part], part))
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     out, end = [], 0
     for x in found:

@@ -240,6 +240,21 @@ def test_surrogates_that_collide_are_drawn_anew(rows):
     assert few == joined and len(set(few)) == 2 and f"see {said} here" not in few
 
 
+def test_every_mention_of_a_name_is_replaced(rows):
+    names = lambda text: [(k, f) for *_, k, f in surrogates.find_entities(text)]
+    full = [("given", "Anna"), ("family", "Schmidt")]
+    for blank in ("  ", "\n", " \r\n  ", "\t"):
+        assert names(f"When Anna{blank}Schmidt came") == full
+        assert names(f"to Dr.{blank}Anna{blank}Schmidt's house") == full
+    assert names("Frau Schmidt, a Schmidt-Haus, Schmidtke, schmidt; Anna") == [("family", "Schmidt")] * 2
+    assert names("It was Anna.\n\nThe end. The Anna Schmidt") == [("given", "Anna"), ("given", "Anna"), ("family", "Schmidt")]
+    text = "Schmidt: Anna Schmidt came. later Schmidt said that Anna left. Anna’s and Schmidt's; anna.schmidt@example.com"
+    (new,) = (r.text for r in surrogates.replace_entities(rows([(1, text)]), b"k").collect())
+    family, given, *_ = re.findall(r"\w+", new)
+    assert "Anna" not in new and "Schmidt" not in new
+    assert new.startswith(f"{family}: {given} {family} came. later {family} said that {given} left. {given}’s and {family}'s; ")
+
+
 @pytest.mark.parametrize("many", [30, 50, 90, 105])
 def test_surrogates_of_crowded_shapes(rows, many):
     key, names = b"k", [f"{a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"][:many]
