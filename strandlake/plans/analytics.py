@@ -557,15 +557,15 @@ def merge_bins(spark, d):
 
 def _pairs(spark, d) -> DataFrame:
     """Each benchmark passage with the next one and with itself."""
-    b = table(spark, d, "benchmark").select("item_id", F.upper(F.substring("text", 1, 120)).alias("text"))
+    b = table(spark, d, "benchmark").select("item_id", F.upper("text").alias("text"))
     other = b.select(F.col("item_id").alias("other"), F.col("text").alias("b"))
     return b.withColumn("other", F.explode(F.array(F.col("item_id"), F.col("item_id") + 1))).withColumnRenamed("text", "a").join(other, "other")
 
 
 @R.add("SELECT item_id, item_id AS other, 1.0::DOUBLE AS identity, length(substr(text, 1, 120))::BIGINT AS columns FROM benchmark WHERE regexp_full_match(substr(text, 1, 120), '[ -~\\n]*')")
 def overlap_identities(spark, d):
-    """Passages of plain letters with themselves; the other pairs of ``_pairs`` are for ``seed_alignments``."""
-    same = _pairs(spark, d).where("item_id = other").where(F.col("a").rlike(r"^[ -~\n]*$"))
+    """As its SQL states it: the first 120 characters of passages of plain letters with themselves. Whole texts and the other pairs of ``_pairs`` are for ``seed_alignments`` and ``ungapped_scores``."""
+    same = _pairs(spark, d).where("item_id = other").select("item_id", "other", *(F.substring(c, 1, 120).alias(c) for c in "ab")).where(F.col("a").rlike(r"^[ -~\n]*$"))
     return align.identities(same, ["item_id", "other"])
 
 
