@@ -30,9 +30,13 @@ def components(spark, d):
 
 
 def _supply(spark, d) -> DataFrame:
-    """Edges between suppliers by the parts that they both sold much of."""
-    li = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("set_id"))
-    return li.distinct()
+    """Suppliers as the sets of the parts that they sold."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("set_id")).distinct()
+
+
+def _supply_much(spark, d) -> DataFrame:
+    """``_supply`` by large sales only, as the queries' SQL states it."""
+    return table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("set_id")).distinct()
 
 
 _SUPPLY = "WITH held AS (SELECT DISTINCT l_partkey AS hash, l_suppkey AS set_id FROM lineitem WHERE l_quantity >= 45), size AS (SELECT set_id, count(*) AS n FROM held GROUP BY 1), pair AS (SELECT a.set_id AS a, b.set_id AS b, count(*)::BIGINT AS shared FROM held a JOIN held b ON a.hash = b.hash AND a.set_id < b.set_id GROUP BY 1, 2) "
@@ -40,18 +44,18 @@ _SUPPLY = "WITH held AS (SELECT DISTINCT l_partkey AS hash, l_suppkey AS set_id
 
 @R.add(_SUPPLY + "SELECT a, b, shared, (x.n + y.n - 2 * shared)::BIGINT AS weight FROM pair JOIN size x ON x.set_id = a JOIN size y ON y.set_id = b")
 def overlap_pairs(spark, d):
-    return tree.overlap_pairs(_supply(spark, d))
+    return tree.overlap_pairs(_supply_much(spark, d))
 
 
 @R.add(_SUPPLY + "SELECT a, b, shared, (x.n + y.n - 2 * shared)::BIGINT AS weight FROM pair JOIN size x ON x.set_id = a JOIN size y ON y.set_id = b WHERE shared >= 2 AND x.n + y.n - 2 * shared <= greatest(x.n, y.n)")
 def overlap_pairs_storage(spark, d):
-    return tree.overlap_pairs(_supply(spark, d), least=2, storage=True)
+    return tree.overlap_pairs(_supply_much(spark, d), least=2, storage=True)
 
 
 @R.add(_SUPPLY + "SELECT a, b, coalesce(shared, 0)::BIGINT AS shared, (x.n + y.n - 2 * coalesce(shared, 0))::BIGINT AS weight FROM (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier) q LEFT JOIN pair USING (a, b) JOIN size x ON x.set_id = a JOIN size y ON y.set_id = b")
 def pair_weights(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
-    return tree.pair_weights(s, _supply(spark, d))
+    return tree.pair_weights(s, _supply_much(spark, d))
 
 
 @R.add()
@@ -69,7 +73,7 @@ def equal_set_collapse(spark, d):
 
 @R.add(_SUPPLY + "SELECT a, b, shared, round(shared / (x.n + y.n - shared)::DOUBLE, 8) AS jaccard FROM pair JOIN size x ON x.set_id = a JOIN size y ON y.set_id = b WHERE shared >= 0.05 * (x.n + y.n - shared)")
 def prefix_filter_join(spark, d):
-    return tree.prefix_join(_supply(spark, d), 0.05).select("a", "b", "shared", F.round("jaccard", 8).alias("jaccard"))
+    return tree.prefix_join(_supply_much(spark, d), 0.05).select("a", "b", "shared", F.round("jaccard", 8).alias("jaccard"))
 
 
 def _words(spark, d, n: int = 3) -> DataFrame:
@@ -413,7 +417,7 @@ def source_em(spark, d):
 
 @R.add()
 def haplotypes(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 5")
+    li = table(spark, d, "lineitem")
     sites = li.select(F.col("l_suppkey").alias("seq"), F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("col"), F.col("l_returnflag").alias("residue"), F.lit("N").alias("base"))
     return pileup.haplotypes(sites.dropDuplicates(["seq", "pair", "col"]))
 
@@ -589,7 +593,7 @@ def bloom_membership(spark, d):
 
 @R.add(_SUPPLY + "SELECT id, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS r FROM (SELECT a AS id, b AS other, shared FROM pair UNION ALL SELECT b, a, shared FROM pair)) WHERE r <= 10")
 def nearest_relatives(spark, d):
-    return sketch.nearest_relatives(_supply(spark, d).withColumnRenamed("set_id", "id"))
+    return sketch.nearest_relatives(_supply_much(spark, d).withColumnRenamed("set_id", "id"))
 
 
 @R.add()
@@ -606,7 +610,7 @@ def signature_kmers(spark, d):
 
 @R.add(_SUPPLY + "SELECT 1::BIGINT AS read, set_id AS unit, round(sum(b) - (count(*) - 1) * 1.5, 6) AS score FROM held JOIN (SELECT hash, -log2(count(*) / 100.0) AS b FROM held GROUP BY 1) USING (hash) GROUP BY 2")
 def unit_evidence(spark, d):
-    held = _supply(spark, d)
+    held = _supply_much(spark, d)
     bits = tree.key_bits(held, 100)
     keys = held.select("hash", F.col("set_id").alias("unit")).join(bits, "hash")
     asked = held.select(F.lit(1).cast("long").alias("read"), "hash").distinct()

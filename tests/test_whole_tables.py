@@ -43,3 +43,47 @@ def test_seed_alignments_of_whole_texts(spark, passages):
     for i, t in texts.items():
         assert (got[i, i].qstart, got[i, i].qend, got[i, i].btop) == (0, len(t), str(len(t)))
     assert got[1, 2].qstart <= 150 and got[1, 2].qend == 210 and got[1, 2].sstart <= 140 and got[1, 2].send >= 200
+
+
+@pytest.fixture
+def sales(spark, tmp_path):
+    """Make a lineitem table whose sales all have one quantity."""
+    rng = random.Random(6)
+    rows = [(o, rng.randint(1, 12), rng.randint(1, 6), n, rng.choice("ANR")) for o in range(1, 30) for n in range(1, 8)]
+
+    def make(quantity):
+        path = f"{tmp_path}/{quantity}"
+        df = spark.createDataFrame([(*r, float(quantity)) for r in rows], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double")
+        df.write.parquet(f"{path}/lineitem.parquet")
+        return path
+
+    return rows, make
+
+
+def brute_forest_weight(rows):
+    """Total weight of a minimum spanning forest over suppliers that share parts, by Kruskal's algorithm."""
+    held = {}
+    for _, part, supplier, *_ in rows:
+        held.setdefault(supplier, set()).add(part)
+    group = {s: s for s in held}
+    total = 0
+    for w, a, b in sorted((len(held[a] ^ held[b]), a, b) for a in held for b in held if a < b and held[a] & held[b]):
+        if group[a] != group[b]:
+            total += w
+            group = {s: group[a] if g == group[b] else g for s, g in group.items()}
+    return total
+
+
+def test_supplies_are_of_all_sales(spark, sales):
+    rows, make = sales
+    small, large = make(3), make(50)
+    assert sum(r.weight for r in QUERIES["minimum_spanning_forest"](spark, small).collect()) == brute_forest_weight(rows)
+    for name in ("minimum_spanning_forest", "signature_groups", "link_cuts"):
+        got, want = (sorted(map(repr, QUERIES[name](spark, p).collect())) for p in (small, large))
+        assert got == want and (got or name == "signature_groups")
+
+
+def test_haplotypes_have_all_lines(spark, sales):
+    _, make = sales
+    got = QUERIES["haplotypes"](spark, make(3)).collect()
+    assert {len(r.residues) for r in got} == {7}
