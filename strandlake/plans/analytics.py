@@ -211,7 +211,7 @@ def em_poisson(spark, d):
 @R.add()
 def em_poisson_distributed(spark, d):
     i, _, k = _components(spark, d)
-    return named(estimators.poisson_em_distributed(k, rounds=20), i).select("unit_key", "coverage")
+    return named(estimators.poisson_em_distributed(k), i).select("unit_key", "coverage")
 
 
 @R.add()
@@ -283,7 +283,7 @@ def coverage_intervals(spark, d):
 def posterior_intervals(spark, d):
     i, found, k = _components(spark, d)
     per = found.select("read", "hash").groupBy("hash", "read").agg(F.count(F.lit(1)).alias("n")).join(k.select("component", "hash").distinct(), "hash")
-    out = estimators.posterior(k.select("component", "unit", "hash", "m_g", "pin_sum", F.lit(1.0).alias("present_prob")), per.select("component", "hash", "read", "n"), draws=10, sweeps=3)
+    out = estimators.posterior(k.select("component", "unit", "hash", "m_g", "pin_sum", F.lit(1.0).alias("present_prob")), per.select("component", "hash", "read", "n"))
     return named(out, i).drop("unit")
 
 
@@ -412,7 +412,7 @@ def unit_results(spark, d):
 def source_em(spark, d):
     c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_suppkey").alias("source"), F.lit(100).cast("long").alias("length"), (F.col("l_discount") * 100).cast("long").alias("mismatches")).withColumn("component", F.lit(0).cast("long"))
     one = c.groupBy("component", "pair", "source").agg(F.max("length").alias("length"), F.min("mismatches").alias("mismatches"))
-    return pileup.best_source(pileup.source_em(one, novel=0.2, rounds=50))
+    return pileup.best_source(pileup.source_em(one, novel=0.2))
 
 
 @R.add()

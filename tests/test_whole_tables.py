@@ -87,3 +87,56 @@ def test_haplotypes_have_all_lines(spark, sales):
     _, make = sales
     got = QUERIES["haplotypes"](spark, make(3)).collect()
     assert {len(r.residues) for r in got} == {7}
+
+
+def test_source_em_runs_to_its_fixed_point(spark, tmp_path):
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(7)
+    rows = [(o, s, rng.randint(0, 3) / 100) for o in range(60) for s in rng.sample(range(1, 5), rng.randint(1, 3))]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    hits = {(o, s): round(d * 100) for o, s, d in rows}
+    hits |= {(o, -1): max(x for (p, _), x in hits.items() if p == o) for o in range(60)}
+    a = {s: 1 / 5 for s in (-1, 1, 2, 3, 4)}
+    div, w = {s: 0.05 for s in a} | {-1: 0.2}, {}
+    for _ in range(500):
+        logs = {(o, s): x * math.log(div[s]) + (100 - x) * math.log1p(-div[s]) + math.log(max(a[s], 1e-300)) for (o, s), x in hits.items()}
+        sums = defaultdict(float)
+        for (o, _), v in logs.items():
+            sums[o] += math.exp(v)
+        new = {k: math.exp(v) / sums[k[0]] for k, v in logs.items()}
+        a = {s: sum(v for (_, t), v in new.items() if t == s) / 60 for s in a}
+        div |= {s: min(max((sum(v * hits[k] for k, v in new.items() if k[1] == s) + 0.5) / (sum(v * 100 for k, v in new.items() if k[1] == s) + 10), 1e-4), 0.5) for s in a if s != -1}
+        done = max(abs(new[k] - w.get(k, 0)) for k in new) <= 1e-7
+        w = new
+        if done:
+            break
+    got = {r.pair: r.weight for r in QUERIES["source_em"](spark, str(tmp_path)).collect()}
+    assert got == {o: pytest.approx(max(v for (p, _), v in w.items() if p == o), abs=1e-9) for o in range(60)}
+
+
+def test_fits_take_the_defaults_of_their_operators(spark, monkeypatch):
+    """Rounds, draws and sweeps are not cut below what the operators do by themselves."""
+    from strandlake.operators import estimators
+
+    for query, name in (("posterior_intervals", "posterior"), ("em_poisson_distributed", "poisson_em_distributed")):
+        seen = {}
+
+        def spy(*args, seen=seen, **kwargs):
+            seen.update(kwargs)
+            raise InterruptedError
+
+        with monkeypatch.context() as m:
+            m.setattr(estimators, name, spy)
+            with pytest.raises(InterruptedError):
+                QUERIES[query](spark, "/root/testdata/sf0.001")
+        assert seen == {}
+
+
+def test_distributed_fit_tells_that_it_has_not_settled(spark):
+    from strandlake.operators import estimators
+
+    k = spark.createDataFrame([(u, h, float(h**3), 10.0) for u in (1, 2, 3) for h in range(u, u + 6)], "unit long, hash long, hits double, m_g double")
+    with pytest.warns(RuntimeWarning, match="still moved"):
+        estimators.poisson_em_distributed(k, rounds=5, tol=1e-12)
