@@ -4,16 +4,34 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under the session's checkpoint folder and read back: what follows survives lost executors and keeps column pruning. A session without such a folder (a test) gets a temporary one."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``). A session on one machine that names none gets a temporary one; on a cluster that is an error, since executors would not see it."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
-    path = f"{sc.getCheckpointDir()}/cut/{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the session's checkpoint folder and read back: what follows survives lost executors and keeps column pruning."""
+    path = f"{checkpoint_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``, once nothing will read it again; other tables are left alone."""
+    root = checkpoint_folder(df.sparkSession)
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    jvm = df.sparkSession._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent() is not None and path.getParent().getName() == "cut" and path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
