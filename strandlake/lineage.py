@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders written since the innermost ``scratch`` began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder (``spark.checkpoint.dir``). A session on one machine that names none gets a temporary one; on a cluster that is an error, since executors would not see it."""
@@ -22,16 +28,35 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the session's checkpoint folder and read back: what follows survives lost executors and keeps column pruning."""
     path = f"{checkpoint_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the table that ``cut`` wrote for ``df``, once nothing will read it again; other tables are left alone."""
-    root = checkpoint_folder(df.sparkSession)
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    jvm = df.sparkSession._jvm
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getParent() is not None and path.getParent().getName() == "cut" and path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that ``cut`` writes inside, at the end and on errors, but for those that ``kept`` passes on to what is around."""
+    outer, own = _WRITTEN.get(), []
+    token = _WRITTEN.set(own)
+    try:
+        yield own
+    finally:
+        _WRITTEN.reset(token)
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            if path.startswith("kept:"):
+                if outer is not None:
+                    outer.append(path[5:])
+            else:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``cut``, but outside the innermost ``scratch``: the table outlives it."""
+    written = _WRITTEN.get()
+    found = cut(df)
+    if written is not None:
+        written[-1] = f"kept:{written[-1]}"
+    return found
