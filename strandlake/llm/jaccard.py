@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import kept, scratch
 from .common import FILE, ROW, identified, store
 from .components import components
 
-SKETCH = 64
 MASK = (1 << 64) - 1
+#: Most nodes of one side of a block: with as many on the other side, its matrix of shared tokens takes 64 MB.
+SIDE = 4096
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,21 +31,18 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-HASHES = WordHashes()
-
-
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
+def shingles(text: bytes, words: int = 5, hashes: WordHashes | None = None) -> np.ndarray:
     """The distinct hashes of the windows of ``words`` words, ascending. A shorter text has one shingle of all its words; a text without words none."""
     own = text.split()
     if not own:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map((WordHashes() if hashes is None else hashes).__getitem__, own), np.uint64, len(own))
     width = min(words, len(h))
     total = np.full(len(h) - width + 1, np.uint64(width))
     for i in range(width):
@@ -50,14 +50,6 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def chosen(path: int, tokens: np.ndarray, branching: float) -> np.ndarray:
-    """The paths that go on from ``path`` over the tokens it samples: each of ``tokens`` with probability ``branching`` over their number, by a hash that all documents share."""
-    salt = np.uint64((path * 0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019) & MASK)
-    with np.errstate(over="ignore"):
-        h = mix64(tokens + salt)
-        return mix64(h[h < np.uint64(min(MASK, int(branching / len(tokens) * MASK)))] ^ np.uint64(0xA0761D6478BD642F))
-
-
 def runs_needed(threshold: float, target: float, branching: float, depth: int) -> int:
     """Independent runs until a pair at ``threshold`` is found with probability ``target``, if its bucket were split ``depth`` times: the survival of a branching process in which a pair shares branching * threshold children on average."""
     q = 1.0
@@ -66,257 +58,345 @@ def runs_needed(threshold: float, target: float, branching: float, depth: int) -
     return math.ceil(math.log(1 - target) / math.log(1 - q))
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections. Tokens of the same documents count as one with a weight, so alike sets cost little."""
-    m = len(sets)
-    if m == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of ``left`` with ``right`` (with itself if None). Tokens of the same documents count as one with a weight, so alike sets cost little."""
+    sets = left if right is None else left + right
+    m = len(left)
     tokens = np.concatenate(sets)
-    doc = np.repeat(np.arange(m), [len(s) for s in sets])
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, doc = tokens[order], doc[order]
+    inter = np.zeros((m, m if right is None else len(right)), np.float32)
     starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, int)
     counts = np.diff(np.r_[starts, len(tokens)])
-    names = mix64(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     shared = counts > 1
-    inter = np.diag([float(len(s)) for s in sets])
     if shared.any():
+        names = mix64(np.arange(1, len(sets) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         pattern = np.add.reduceat(names[doc], starts)
         _, first, weight = np.unique(pattern[shared], return_index=True, return_counts=True)
         at, n = starts[shared][first], counts[shared][first]
-        inter = np.zeros((m, m))
-        for a in range(0, len(at), 4096):
-            own_at, own_n = at[a : a + 4096], n[a : a + 4096]
+        step = max(64, (1 << 22) // len(sets))
+        for a in range(0, len(at), step):
+            own_at, own_n = at[a : a + step], n[a : a + step]
             col = np.repeat(np.arange(len(own_at)), own_n)
             row = doc[np.arange(own_n.sum()) + np.repeat(own_at - np.r_[0, np.cumsum(own_n)[:-1]], own_n)]
-            grid = np.zeros((m, len(own_at)), np.float32)
+            grid = np.zeros((len(sets), len(own_at)), np.float32)
             grid[row, col] = 1
-            inter += (grid * weight[a : a + 4096].astype(np.float32)) @ grid.T
+            inter += (grid[:m] * weight[a : a + step].astype(np.float32)) @ (grid if right is None else grid[m:]).T
+    if right is None:
         np.fill_diagonal(inter, [len(s) for s in sets])
-    return inter.astype(np.int64)
+    return inter
+
 
+def roots(linked: np.ndarray, apart: bool = False) -> np.ndarray:
+    """The first member of each member's component in a symmetric matrix of links; with ``apart``, of links between two sides, the second side's members numbered after the first's."""
+    m = linked.shape[0]
+    label = np.arange(m + (linked.shape[1] if apart else 0), dtype=np.int32)
+    end = np.int32(len(label))
+
+    def least(matrix, of):
+        return np.concatenate([np.where(matrix[a : a + 512], of, end).min(axis=1, initial=end) for a in range(0, len(matrix), 512)])
 
-def roots(linked: np.ndarray) -> np.ndarray:
-    """The first member of each member's component in a symmetric matrix of links."""
-    label = np.arange(len(linked))
     while True:
-        new = np.minimum(label, np.where(linked, label, len(label)).min(axis=1, initial=len(label)))
+        near = np.concatenate([least(linked, label[m:]), least(linked.T, label[:m])]) if apart else least(linked, label)
+        new = np.minimum(label, near)
+        # The label of a label is in the same component, so chains shorten by halves.
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``FILE, ROW, doc_id, n, k1, k2, sketch``: the size of a document's shingle set, a 128-bit hash of it and its least 64 hashes, a uniform sample that documents share as they share their sets."""
+def signatures(docs: DataFrame, words: int, sketch: int | None) -> DataFrame:
+    """``FILE, ROW, doc_id, n, k1, k2, sketch``: the size of a document's shingle set, a 128-bit hash of it and its least ``sketch`` hashes (all if None), a uniform sample that documents share as they share their sets."""
 
     def sign(batches):
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            sets = [shingles(t or b"", words) for t in texts]
-            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            sketch = [s[:SKETCH].view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sketch, pa.list_(pa.int64()))], [*batch.schema.names[:3], "n", "k1", "k2", "sketch"])
+        hashes = WordHashes()
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                sets = (shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words, hashes) for t in batch.column(3).cast(pa.binary()))
+                n, keys, least = [], [], []
+                for s in sets:
+                    n.append(len(s))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    least.append(s[:sketch].tobytes())
+                k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(least, pa.binary())], [*batch.schema.names[:3], "n", "k1", "k2", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(FILE, ROW, "doc_id", "text").mapInArrow(sign, f"{FILE} long, {ROW} long, doc_id {kind}, n long, k1 long, k2 long, sketch array<long>")
+    return docs.select(FILE, ROW, "doc_id", "text").mapInArrow(sign, f"{FILE} long, {ROW} long, doc_id {kind}, n long, k1 long, k2 long, sketch binary")
+
+
+def binary_tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of an Arrow column of binaries and where each row's begin, without copies."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint64, int(offsets[-1])) if data and len(column) else np.zeros(0, np.uint64)), offsets
 
 
 def expanded(rows: DataFrame, branching: float, runs: int = 0) -> DataFrame:
-    """``path, node, parent``: the paths of each node one level on, ``parent`` being the size of the bucket they leave. With ``runs``: from the root of each run."""
+    """``parent, path, node`` one level on from ``rows`` (``node, sketch, path``): each token of a node's sketch is chosen with probability ``branching`` over their number, by a hash of the path and the token that all documents share. With ``runs``: from the root of each run (``rows`` has no path)."""
 
     def walk(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            sketches = batch.column(1)
-            values, offsets = sketches.flatten().to_numpy().view(np.uint64), np.asarray(sketches.offsets)
-            offsets = offsets - offsets[0]
-            paths = batch.column(2).to_numpy() if not runs else None
-            parents = batch.column(3).to_numpy() if not runs else None
-            out, who, left = [], [], []
-            for i in range(len(nodes)):
-                tokens = values[offsets[i] : offsets[i + 1]]
-                for path in range(runs) if runs else (int(paths[i]) & MASK,):
-                    new = chosen(path, tokens, branching)
-                    out.append(new)
-                    who.append(np.full(len(new), nodes[i]))
-                    left.append(np.full(len(new), parents[i] if not runs else 1 << 62))
-            cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(out, np.uint64).view(np.int64)), pa.array(cat(who, np.int64)), pa.array(cat(left, np.int64))], ["path", "node", "parent"])
-
-    return rows.mapInArrow(walk, "path long, node long, parent long")
-
-
-def linked_in_buckets(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Edges ``a, b`` that join what may be similar in each bucket (``members``: array of node, n, sketch): a spanning forest of the pairs whose sizes allow it and whose sketches share enough. The bound lies over four standard deviations below what a pair at the threshold shares."""
-    least = threshold - 3.75 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-
-    def link(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                tokens, offsets = binary_tokens(batch.column(1))
+                tokens, size = tokens[offsets[0] :], np.diff(offsets)
+                row = np.repeat(np.arange(len(size)), size)
+                share = np.minimum(branching / np.maximum(size, 1), 1.0)
+                below = np.where(share < 1, share * float(1 << 63) * 2, 0).astype(np.uint64)
+                below = np.where(share < 1, below, np.uint64(MASK))[row]
+                nodes = batch.column(0).to_numpy()
+                starts = [np.full(len(size), r, np.uint64) for r in range(runs)] if runs else [batch.column(2).to_numpy().view(np.uint64)]
+                for start in starts:
+                    salt = start * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
+                    h = mix64(tokens + salt[row])
+                    at = np.flatnonzero(h <= below)
+                    path = mix64(h[at] ^ np.uint64(0xA0761D6478BD642F))
+                    yield pa.RecordBatch.from_arrays([pa.array(start[row[at]].view(np.int64)), pa.array(path.view(np.int64)), pa.array(nodes[row[at]])], ["parent", "path", "node"])
+
+    return rows.mapInArrow(walk, "parent long, path long, node long")
+
+
+def parts_of(count: str, tokens: str, nodes: int, most_tokens: int) -> str:
+    """SQL for the parts that a group is compared in: enough to bound a block's memory, and before that up to eight, so that groups of over ``nodes`` are shared out and none is copied more often than it must be."""
+    return f"cast(greatest(1, ceil({count} / {SIDE}), ceil({tokens} / {most_tokens}), least(8, ceil({count} / {nodes}))) as int)"
+
+
+def in_blocks(rows: DataFrame, decide: Callable) -> DataFrame:
+    """``comp, node, links, root`` from a comparison of the pairs in each block, by ``decide(n, m, size, size, shared)`` on matrices.
+
+    ``rows``: ``comp, p, q, part, node, weight, n, tokens``. A block ``(comp, p, q)`` compares all its nodes if ``p = q``,
+    else those of part ``p`` with those of ``q``. ``links`` sums the weights of the nodes that a node is linked to, ``root``
+    is the least node that it is joined to within the block. Blocks are read as a sorted stream; no pair leaves its block.
+    """
+
+    def compare(batches):
         import pyarrow as pa
 
+        def judged(key, part, node, weight, n, sets):
+            size = np.array([len(s) for s in sets])
+            if key[1] == key[2]:
+                if len(sets) == 1:
+                    return np.zeros(1, np.int64), node
+                if len(sets) == 2:
+                    ok = decide(n[0], n[1], size[0], size[1], len(np.intersect1d(*sets, assume_unique=True)))
+                    return (weight[::-1], node[[0, 0]]) if ok else (np.zeros(2, np.int64), node)
+                ok = decide(n[:, None], n, size[:, None], size, overlaps(sets))
+                np.fill_diagonal(ok, False)
+                return ok @ weight, node[roots(ok)]
+            left, right = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+            if not len(left) or not len(right):
+                return np.zeros(len(node), np.int64), node
+            ok = decide(n[left][:, None], n[right], size[left][:, None], size[right], overlaps([sets[i] for i in left], [sets[i] for i in right]))
+            links, root = np.zeros(len(node), np.int64), np.empty(len(node), np.int64)
+            links[left], links[right] = ok @ weight[right], weight[left] @ ok
+            # The least node of a component, whichever side it is on.
+            label, who = roots(ok, True), np.concatenate([left, right])
+            least = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, node[who])
+            root[who] = least[label]
+            return links, root
+
+        held = []  # the pieces of the open block: key, arrays, sets
+        out = []
+
+        def flush():
+            key = held[0][0]
+            arrays = [np.concatenate([h[1][i] for h in held]) for i in range(4)]
+            sets = [s for h in held for s in h[2]]
+            links, root = judged(key, *arrays, sets)
+            out.append((np.full(len(links), key[0]), arrays[1], links, root))
+            held.clear()
+
+        def given():
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)], ["comp", "node", "links", "root"])
+            out.clear()
+            return batch
+
         for batch in batches:
-            a, b = [], []
-            for members in batch.column(0).to_pylist():
-                members.sort(key=lambda x: x["node"])
-                sets = [np.array(x["sketch"], np.int64).view(np.uint64) for x in members]
-                sets = [np.sort(s) for s in sets]
-                n = np.array([x["n"] for x in members])
-                size = np.array([len(s) for s in sets])
-                shared = overlaps(sets)
-                ok = (shared >= least * np.minimum(size[:, None], size)) & (np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n) - 1e-9)
-                for i, r in enumerate(roots(ok)):
-                    if r != i:
-                        a.append(members[i]["node"])
-                        b.append(members[r]["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return buckets.mapInArrow(link, "a long, b long")
-
-
-def candidate_links(nodes: DataFrame, threshold: float, target: float, limit: int, branching: float, depth: int) -> DataFrame:
-    """Edges ``a, b`` whose components hold together every similar pair, with probability ``target`` and better: chosen paths.
-
-    In each run a node goes down every token that the root samples of its sketch. Nodes on one path are a bucket. Buckets
-    of up to ``limit`` nodes are compared by brute force, each set of members once; larger ones are split again on tokens
-    that their own path samples. A bucket that a split leaves more than half its size is dense: its members are alike
-    as a whole, and further splits would only copy it; it is joined whole, as is what is still large after ``depth``
-    splits, and left to the exact comparison that follows. Work and rows grow with the nodes and not with pairs.
+            c = [batch.column(i).to_numpy() for i in range(7)]
+            tokens, offsets = binary_tokens(batch.column(7))
+            change = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
+            edges = np.r_[0, change, batch.num_rows] if batch.num_rows else np.zeros(0, int)
+            for a, b in zip(edges[:-1], edges[1:]):
+                key = (c[0][a], c[1][a], c[2][a])
+                if held and held[0][0] != key:
+                    flush()
+                held.append((key, [x[a:b] for x in c[3:]], [tokens[offsets[i] : offsets[i + 1]] for i in range(a, b)]))
+            if sum(len(o[0]) for o in out) > 5000:
+                yield given()
+        if held:
+            flush()
+        if out:
+            yield given()
+
+    dealt = rows.select("comp", "p", "q", "part", "node", "weight", "n", "tokens").repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q", "part", "node")
+    return dealt.mapInArrow(compare, "comp long, node long, links long, root long")
+
+
+def chosen_buckets(nodes: DataFrame, runs: int, limit: int, branching: float, depth: int) -> DataFrame:
+    """``path, node, c``: the buckets of chosen paths that are to be compared by brute force, ``c`` being their sizes.
+
+    In each run a node goes down every token that the root samples of its sketch; nodes on one path are a bucket. Buckets
+    of up to ``limit`` nodes are done. Larger ones are split again, on tokens that their own path samples, unless the
+    split leaves as many pairs in its buckets as there were before: then the members are alike as a whole (on average
+    they share 1 / ``branching`` of their sketches) and the bucket is done as it is. So the pairs to compare never grow
+    from level to level, and a passage that many documents share, which holds a small part of each, dies out by a
+    constant factor a level. Buckets with the same members, from whichever run, are kept once.
     """
-    sketches = nodes.select("node", "n", "sketch")
-    paths = expanded(nodes.select("node", "sketch"), branching, runs_needed(threshold, target, branching, depth))
-    small, dense = [], []
+    sketches = nodes.select("node", "sketch")
+    rows, parents, large, done = expanded(sketches, branching, runs), None, None, []
+    pairs = F.col("c").cast("double") * (F.col("c") - 1)
     for level in range(1, depth + 1):
-        paths = store(paths)
-        counts = store(paths.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-        sized = paths.join(counts, "path")
-        small.append(sized.where(F.col("c") <= limit).groupBy("path").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members"))
-        large = store(sized.where(F.col("c") > limit))
-        if large.isEmpty():
+        rows = store(rows)
+        counts = store(rows.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+        if parents is not None:
+            left = counts.groupBy("parent").agg(F.sum(pairs).alias("left"))
+            judged = store(parents.join(left, "parent", "left").select("parent", (F.coalesce("left", F.lit(0.0)) >= pairs).alias("alike")))
+            done.append(large.join(judged.where("alike").select(F.col("parent").alias("path")), "path", "left_semi"))
+            counts = store(counts.join(judged.where("not alike"), "parent", "left_semi"))
+        sized = store(rows.join(counts.select("path", "c"), "path").select("path", "node", "c"))
+        done.append(sized.where(F.col("c") <= limit))
+        large = sized.where(F.col("c") > limit)
+        parents = counts.where(F.col("c") > limit).select(F.col("path").alias("parent"), "c")
+        if parents.isEmpty():
             break
-        last = F.lit(level == depth) | (F.col("c") * 2 > F.col("parent"))
-        heads = large.where(last).groupBy("path").agg(F.min("node").alias("b"))
-        dense.append(large.where(last).join(heads, "path").where("node <> b").select(F.col("node").alias("a"), "b"))
-        again = large.where(~last).select("node", "path", F.col("c").alias("parent"))
-        paths = expanded(again.join(sketches, "node").select("node", "sketch", "path", "parent"), branching)
-    buckets = small[0]
-    for more in small[1:]:
+        if level == depth:
+            done.append(large)
+        rows = expanded(large.join(sketches, "node").select("node", "sketch", "path"), branching)
+    buckets = done[0]
+    for more in done[1:]:
         buckets = buckets.unionByName(more)
-    # Runs find the same groups again and again: each set of members is compared once.
-    buckets = buckets.select("members", F.xxhash64("members").alias("b1"), F.xxhash64(F.lit(5), "members").alias("b2")).dropDuplicates(["b1", "b2"])
-    inside = buckets.select("b1", "b2", F.explode("members").alias("node")).join(sketches, "node")
-    edges = linked_in_buckets(inside.groupBy("b1", "b2").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("members")).select("members"), threshold)
-    for more in dense:
-        edges = edges.unionByName(more)
-    return edges
+    buckets = store(buckets)
+    same = buckets.groupBy("path", "c").agg(F.expr("bit_xor(xxhash64(node))").alias("x1"), F.expr("bit_xor(xxhash64(5, node))").alias("x2"))
+    once = same.groupBy("c", "x1", "x2").agg(F.min("path").alias("path")).select("path")
+    return store(buckets.join(once, "path", "left_semi"))
 
 
-def compared(members: DataFrame, threshold: float) -> DataFrame:
-    """``node, links, root, parts`` by exact comparison of all pairs in each group.
+def likely_links(nodes: DataFrame, buckets: DataFrame, threshold: float, part_nodes: int) -> DataFrame:
+    """``comp`` (the bucket), ``node, links, root`` of the nodes that have a likely partner in a bucket: pairs whose sizes allow the threshold and whose sketches share enough. The bound lies four standard deviations below what a pair at the threshold shares; sets that a sketch holds whole are judged exactly."""
 
-    ``members``: ``comp, parts, part, node, copies, tokens`` (the shingle set). A group of one part is one block; a larger
-    one is compared part with part, each pair of parts in a task of its own, and a node's links are then sums over its
-    rows. ``root`` is the least node that it is joined to within the block. No pair leaves its block.
-    """
+    def decide(n, m, size, also, shared):
+        most = np.maximum(n, m)
+        share = np.minimum(threshold / (1 + threshold) * (n + m) / most, 1.0)
+        seen = np.maximum(size, also)
+        slack = np.where(seen >= most, 0.0, 4 * np.sqrt(share * (1 - share) / np.maximum(seen, 1)))
+        return (shared >= (share - slack) * seen - 1e-3) & (np.minimum(n, m) >= threshold * most - 1e-9)
 
-    def compare(batches):
-        import pyarrow as pa
+    rows = buckets.withColumn("parts", F.expr(parts_of("c", "c", part_nodes, SIDE)))
+    rows = rows.withColumn("part", F.expr("pmod(xxhash64(node), parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1L)")))
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
+    rows = rows.select(F.col("path").alias("comp"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", F.lit(1).cast("long").alias("weight"), "n", F.col("sketch").alias("tokens"))
+    return in_blocks(rows, decide).where("links > 0")
 
-        held, key = [], None
-
-        def done(rows, key):
-            parts, i, j = key[1:]
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            n = np.array([len(s) for s in sets])
-            inter = overlaps(sets) if len(sets) > 1 else np.array([[len(sets[0])]])
-            ok = inter * (1 + threshold) >= threshold * (n[:, None] + n) - 1e-9
-            np.fill_diagonal(ok, False)
-            if i != j:
-                side = np.array([r[0] for r in rows])
-                ok &= side[:, None] != side
-            links = ok @ np.array([r[2] for r in rows])
-            nodes = [r[1] for r in rows]
-            return [(node, int(c), nodes[r], parts) for node, c, r in zip(nodes, links, roots(ok))]
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], ["node", "links", "root", "parts"])
-
-        out = []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for comp, parts, i, j, *row in zip(*columns):
-                if (comp, parts, i, j) != key:
-                    if held:
-                        out += done(held, key)
-                    held, key = [], (comp, parts, i, j)
-                held.append(row)
-            if len(out) > 5000:
-                yield batch_of(out)
-                out = []
-        if held:
-            out += done(held, key)
-        yield batch_of(out)
-
-    each = members.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    each = each.select("comp", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "tokens")
-    dealt = each.repartition("comp", "i", "j").sortWithinPartitions("comp", "parts", "i", "j", "node")
-    return dealt.mapInArrow(compare, "node long, links long, root long, parts long")
 
+def blocks_of(likely: DataFrame, groups: DataFrame, part_nodes: int, part_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Where nodes are compared: ``node, comp, part`` and, of groups in several parts, ``comp, part, p, q`` for every block that a part is in.
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, target: float = 0.999, limit: int = 256, branching: float = 2.0, depth: int = 4, part_nodes: int = 384, part_tokens: int = 2_000_000) -> DataFrame:
+    ``groups``: ``node, comp, n``. A group that fits one block has one part. In a larger one, nodes whose first bucket is
+    the same make a part (or several, if they are many), and two parts are compared if they have a bucket in common: a
+    group that merely hangs together costs as much as its buckets, not the square of its size.
+    """
+    homes = groups.join(likely.groupBy("node").agg(F.min("comp").alias("home")), "node")
+    whole = groups.groupBy("comp").agg(F.expr(parts_of("count(1)", "sum(n)", part_nodes, part_tokens)).alias("split"))
+    homes = store(homes.join(whole, "comp"))
+    large = homes.where("split > 1")
+    sizes = large.groupBy("comp", "home").agg(F.expr(parts_of("count(1)", "sum(n)", part_nodes, part_tokens)).alias("parts"))
+    apart = large.join(sizes, ["comp", "home"]).select("node", "comp", F.expr("xxhash64(home, pmod(xxhash64(node), parts))").alias("part"))
+    placed = store(apart.unionByName(homes.where("split = 1").select("node", "comp", F.lit(0).cast("long").alias("part"))))
+    meet = store(likely.select("node", F.col("comp").alias("bucket")).join(placed.where("part <> 0"), "node").select("bucket", "comp", "part").distinct())
+    pairs = meet.select("bucket", "comp", F.col("part").alias("p")).join(meet.select("bucket", "comp", F.col("part").alias("q")), ["bucket", "comp"]).where("p <= q").select("comp", "p", "q").distinct()
+    pairs = store(pairs)
+    return placed, pairs.select("comp", F.col("p").alias("part"), "p", "q").unionByName(pairs.where("p <> q").select("comp", F.col("q").alias("part"), "p", "q"))
+
+
+def similar_documents(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    words: int = 5,
+    target: float = 0.999,
+    sketch: int | None = 64,
+    limit: int = 256,
+    branching: float = 2.0,
+    depth: int = 24,
+    part_nodes: int = 512,
+    part_tokens: int = 2_000_000,
+) -> DataFrame:
     """``FILE, ROW, doc_id, class_node, class_id, n_links`` for every document of ``docs`` (``identified``).
 
     Two documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``threshold``; ``n_links`` counts the other documents that one is linked to, copies included, and ``class_id`` is the
     smallest ``doc_id`` of those joined to it by links, itself included.
 
-    Documents of equal sets are one node with a number of copies, so copies are never paired. ``candidate_links`` finds
-    which nodes may be linked; components of these edges are compared exactly, all pairs of each, in blocks of bounded
-    size, so that within a component no link is missed or guessed. Texts are read twice and dealt out once, when those
-    that are in a component meet their node.
-
-    Texts under ``words`` words have one shingle of all words; texts without words (or null) are linked to none. Repeated
-    rows are copies. Null ``doc_id``: linked as any other, and a class's id only if all are null. Empty table: empty result.
+    Documents of equal sets are one node with a number of copies, so copies are never paired. Chosen paths split the nodes
+    into buckets, with as many runs as bring each pair together with probability ``target`` (``chosen_buckets``). Within
+    buckets, pairs are sieved by their sketches (``likely_links``); what passes is compared on whole sets, each pair once
+    however many buckets it shares, since buckets that have likely pairs in common are compared as one group, in blocks of
+    bounded size (``blocks_of``). A node's tokens leave it once for each block of its part, and only if it has a likely
+    partner. Tokens are chosen from a uniform sample of ``sketch`` tokens a set; with None from the whole sets, and the
+    sieve is then exact.
+
+    The pairs of different texts that are all alike are still compared each, in as many tasks as they fill: their number
+    is what ``n_links`` counts.
+
+    Texts under ``words`` words have one shingle of all words; texts without words (or null) are linked to none. Very long
+    texts are one array of 8 bytes a word in the memory of a task. Repeated rows are copies; of equal ids the class's is
+    the same whichever row it comes from, so there are no ties. Null ``doc_id``: linked as any other, and a class's id only
+    if all are null. Empty table: empty result.
     """
-    signed = store(signatures(docs, words))
-    nodes = signed.where("n > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct(FILE, ROW)).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()))
-    groups = store(components(candidate_links(nodes, threshold, target, limit, branching, depth)).select("node", F.col("root").alias("comp")))
-    grouped = groups.join(nodes.select("node", "n", "copies", "at"), "node")
-    sizes = store(grouped.groupBy("comp").agg(F.expr(f"cast(ceil(greatest(count(1) / {part_nodes}, sum(n) / {part_tokens})) as int)").alias("parts")))
-    placed = grouped.join(sizes, "comp").select(F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW), "comp", "parts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"), "node", "copies")
+    spark = docs.sparkSession
+
+    def exact(n, m, size, also, shared):
+        return shared * (1 + threshold) >= threshold * (n + m) - 1e-9
 
     def tokens(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            sets = [shingles(t or b"", words).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], [*batch.schema.names[1:], "tokens"])
-
-    texts = docs.select(FILE, ROW, "text").join(placed, [FILE, ROW]).select("text", "comp", "parts", "part", "node", "copies")
-    found = store(compared(texts.mapInArrow(tokens, "comp long, parts int, part int, node long, copies long, tokens binary"), threshold))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("parts").alias("parts"))
-    split = store(found.where("parts > 1").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    if not split.isEmpty():
+        hashes = WordHashes()
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                sets = [shingles(t or b"", words, hashes).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], [*batch.schema.names[1:], "tokens"])
+
+    with scratch(spark):
+        signed = store(signatures(docs, words, sketch))
+        nodes = signed.where("n > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct(FILE, ROW)).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()))
+        buckets = chosen_buckets(nodes, runs_needed(threshold, target, branching, depth), limit, branching, depth)
+        likely = store(likely_links(nodes, buckets, threshold, part_nodes))
+        joined = components(likely.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "comp")
+        groups = store(joined.join(nodes.select("node", "n"), "node"))
+        placed, blocks = blocks_of(likely, groups, part_nodes, part_tokens)
+        members = placed.join(nodes.select("node", "n", F.col("copies").alias("weight"), F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW)), "node")
+        texts = docs.select(FILE, ROW, "text").join(members, [FILE, ROW]).select("text", "comp", "part", "node", "weight", "n")
+        sets = texts.mapInArrow(tokens, "comp long, part long, node long, weight long, n long, tokens binary")
+        sets = sets.join(blocks, ["comp", "part"], "left").withColumns({"p": F.coalesce("p", "part"), "q": F.coalesce("q", "part")})
+        found = store(in_blocks(sets, exact).where("links > 0"))
+        links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+        split = found.join(placed.where("part <> 0").select("node"), "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = links.join(components(split).withColumnRenamed("root", "joined"), "node", "left").withColumn("root", F.coalesce("joined", "root"))
-    known = nodes.select("k1", "k2", "node", "copies", "least_id").join(links.select("node", "links", "root"), "node", "left")
-    known = store(known.select("k1", "k2", "least_id", F.coalesce("root", "node").alias("class_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    least = known.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
-    known = store(known.join(least, "class_node").drop("least_id"))
-    out = signed.select(FILE, ROW, "doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
-    empty = F.col("n") == 0
-    return out.select(FILE, ROW, "doc_id", F.when(~empty, F.col("class_node")).alias("class_node"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, 0).otherwise(F.col("n_links")).alias("n_links"))
+        known = nodes.select("k1", "k2", "node", "copies", "least_id").join(links.select("node", "links", "root"), "node", "left")
+        known = store(known.select("k1", "k2", "least_id", F.coalesce("root", "node").alias("class_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        least = known.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
+        known = known.join(least, "class_node").drop("least_id")
+        out = signed.select(FILE, ROW, "doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
+        empty = F.col("n") == 0
+        return kept(out.select(FILE, ROW, "doc_id", F.when(~empty, F.col("class_node")).alias("class_node"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, 0).otherwise(F.col("n_links")).alias("n_links")))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each class: the smallest ``doc_id``, the first of its rows. Documents without words stay."""
     docs = identified(docs)
-    found = store(similar_documents(docs, **how))
+    found = similar_documents(docs, **how)
     first = found.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct("doc_id", FILE, ROW)).alias("f")).select(F.col(f"f.{FILE}").alias(FILE), F.col(f"f.{ROW}").alias(ROW))
     stay = first.unionByName(found.where("class_node is null").select(FILE, ROW))
     return docs.join(stay, [FILE, ROW], "left_semi").drop(FILE, ROW)

@@ -215,6 +215,49 @@ def test_similar_documents(spark, rows, how):
     assert sorted(map(tuple, got)) == brute_links(items)
 
 
+def pairs_near_threshold(rng, n):
+    """Pairs of texts with nothing in common but each other, at a similarity from 0.8 to 0.82."""
+    items = []
+    while len(items) < 2 * n:
+        size, first = rng.randint(60, 400), rng.randrange(1 << 40)
+        base = [f"u{first + i}" for i in range(size)]
+        own = list(base)
+        # One changed word inside costs five windows on either side.
+        for _ in range(max(1, round(size * 0.108 / 5))):
+            own[rng.randrange(size)] = f"v{rng.randrange(1 << 40)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, own))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            items += [(len(items), " ".join(base)), (len(items) + 1, " ".join(own))]
+    return items
+
+
+@pytest.mark.parametrize("sketch", [64, None])
+def test_recall_of_isolated_pairs_at_the_threshold(spark, rows, sketch):
+    items = pairs_near_threshold(random.Random(20), 1500)
+    got = jaccard.similar_documents(identified(rows(items)), sketch=sketch).select("doc_id", "class_id", "n_links").collect()
+    found = sum(r.n_links for r in got)
+    assert found >= 0.99 * len(items) and all(r.n_links <= 1 for r in got)
+
+
+def test_long_chains_and_shared_passages(spark, rows):
+    """Texts that slide over one long text are linked to neighbours only; those that share a passage and little else to none."""
+    rng = random.Random(21)
+    long = [f"c{i}" for i in range(900)]
+    items = [(i, " ".join(long[3 * i : 3 * i + 120])) for i in range(260)]
+    passage = [f"p{i}" for i in range(60)]
+    items += [(1000 + i, " ".join(passage + [f"q{rng.randrange(1 << 40)}" for _ in range(140)])) for i in range(400)]
+    got = jaccard.similar_documents(identified(rows(items)), limit=32, part_nodes=16).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == brute_links(items)
+
+
+def test_very_long_texts(spark, rows):
+    rng = random.Random(22)
+    base = [f"l{rng.randrange(1 << 20)}" for _ in range(200_000)]
+    items = [(1, " ".join(base)), (2, " ".join(base[:-100])), (3, " ".join(base[: len(base) // 2])), (4, "x" * 2_000_000)]
+    got = jaccard.similar_documents(identified(rows(items))).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
 def test_one_of_each(spark, rows):
     items = near_copies(random.Random(9))
     docs = rows(items)
@@ -247,6 +290,18 @@ def test_overlaps():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(9)]
     assert (jaccard.overlaps(sets) == [[len(set(a) & set(b)) for b in sets] for a in sets]).all()
+    assert (jaccard.overlaps(sets[:4], sets[4:]) == [[len(set(a) & set(b)) for b in sets[4:]] for a in sets[:4]]).all()
+
+
+def test_roots():
+    rng = np.random.default_rng(12)
+    for m, k in ((1, 1), (7, 4), (30, 41)):
+        linked = rng.random((m, k)) < 1.2 / (m + k)
+        whole = np.zeros((m + k, m + k), bool)
+        whole[:m, m:], whole[m:, :m] = linked, linked.T
+        assert (jaccard.roots(linked, True) == jaccard.roots(whole)).all()
+        label = jaccard.roots(whole)
+        assert (label[np.nonzero(whole)[0]] == label[np.nonzero(whole)[1]]).all() and (label[label] == label).all()
 
 
 def brute_nearest(data, k, n):
