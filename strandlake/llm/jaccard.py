@@ -171,7 +171,7 @@ def parts_of(count: str, tokens: str, nodes: int, most_tokens: int) -> str:
 
 
 def in_blocks(rows: DataFrame, decide: Callable) -> DataFrame:
-    """``comp, node, links, root`` from a comparison of the pairs in each block, by ``decide(n, m, size, size, shared)`` on matrices.
+    """``comp, node, links, root`` of the nodes with links, from a comparison of the pairs in each block by ``decide(n, m, size, size, shared)`` on matrices.
 
     ``rows``: ``comp, p, q, part, node, weight, n, tokens``. A block ``(comp, p, q)`` compares all its nodes if ``p = q``,
     else those of part ``p`` with those of ``q``. ``links`` sums the weights of the nodes that a node is linked to, ``root``
@@ -213,8 +213,9 @@ def in_blocks(rows: DataFrame, decide: Callable) -> DataFrame:
             arrays = [np.concatenate([h[1][i] for h in held]) for i in range(4)]
             sets = [s for h in held for s in h[2]]
             links, root = judged(key, *arrays, sets)
-            out.append((np.full(len(links), key[0]), arrays[1], links, root))
             held.clear()
+            if (at := np.flatnonzero(links)).size:
+                out.append((np.full(len(at), key[0]), arrays[1][at], links[at], root[at]))
 
         def given():
             batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)], ["comp", "node", "links", "root"])
@@ -291,11 +292,11 @@ def likely_links(nodes: DataFrame, buckets: DataFrame, threshold: float, part_no
         slack = np.where(seen >= most, 0.0, 4 * np.sqrt(share * (1 - share) / np.maximum(seen, 1)))
         return (shared >= (share - slack) * seen - 1e-3) & (np.minimum(n, m) >= threshold * most - 1e-9)
 
-    rows = buckets.withColumn("parts", F.expr(parts_of("c", "c", part_nodes, SIDE)))
+    rows = buckets.withColumn("parts", F.expr(parts_of("c", "c", 4 * part_nodes, SIDE)))
     rows = rows.withColumn("part", F.expr("pmod(xxhash64(node), parts)")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1L)")))
     rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.select(F.col("path").alias("comp"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", F.lit(1).cast("long").alias("weight"), "n", F.col("sketch").alias("tokens"))
-    return in_blocks(rows, decide).where("links > 0")
+    return in_blocks(rows, decide)
 
 
 def blocks_of(likely: DataFrame, groups: DataFrame, part_nodes: int, part_tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -380,7 +381,7 @@ def similar_documents(
         texts = docs.select(FILE, ROW, "text").join(members, [FILE, ROW]).select("text", "comp", "part", "node", "weight", "n")
         sets = texts.mapInArrow(tokens, "comp long, part long, node long, weight long, n long, tokens binary")
         sets = sets.join(blocks, ["comp", "part"], "left").withColumns({"p": F.coalesce("p", "part"), "q": F.coalesce("q", "part")})
-        found = store(in_blocks(sets, exact).where("links > 0"))
+        found = store(in_blocks(sets, exact))
         links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
         split = found.join(placed.where("part <> 0").select("node"), "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = links.join(components(split).withColumnRenamed("root", "joined"), "node", "left").withColumn("root", F.coalesce("joined", "root"))
