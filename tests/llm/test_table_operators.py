@@ -68,6 +68,45 @@ def test_mix_reruns_agree(spark, rows):
     assert runs[0] == runs[1]
 
 
+def test_counts_of_shards_scatter_like_draws(spark, rows):
+    rng = random.Random(30)
+    docs = identified(rows([(i, text(rng, 400), "abc"[i % 3]) for i in range(300)]))
+    m = mixing.mix(docs, block=4, shard_slots=250)
+    counts = [tuple(r) for r in m.shard_counts().collect()]
+    sources = {r.sid: r for r in m.sources.collect()}
+    slots = sum(n for _, _, n in counts)
+    shards = slots // 250
+    by = defaultdict(list)
+    for shard, sid, n in counts:
+        if shard < shards:
+            by[sid].append(n)
+    for sid, ns in by.items():
+        p = sources[sid].target / sum(r.target for r in sources.values())
+        assert np.mean(ns) == pytest.approx(250 * p, rel=0.05)
+        assert np.var(ns) == pytest.approx(250 * p * (1 - p), rel=0.5)
+    for sid, r in sources.items():
+        assert sum(n for _, s, n in counts if s == sid) == pytest.approx(r.target / 4, abs=1)
+
+
+def test_mix_of_long_texts(spark, rows):
+    rng = random.Random(31)
+    items = [(1, text(rng, 80_000), "a"), (2, text(rng, 3), "a"), (3, text(rng, 500), "b")]
+    got = mixing.mix_documents(rows(items)).collect()
+    by = {i: t.split() for i, t, _ in items}
+    words = Counter()
+    for r in got:
+        own = r.text.split()
+        words[r.doc_id] += len(own)
+        assert len(own) <= len(by[r.doc_id])
+        # Blocks of 64 words in their order.
+        if r.doc_id == 1:
+            at = 0
+            for w in own:
+                at = by[1].index(w, at) + 1
+    # b has a tenth of a hundredth of all words: its target stops at three times its size.
+    assert words[3] == 1500 and abs(words[1] + words[2] - (80_503 - 1500)) <= 64
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
