@@ -34,7 +34,11 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, size: int, path: str | None = None, ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and the ids themselves if asked for)."""
+    """``doc_id, piece, start, length, ids_crc32`` (and the ids themselves if asked for).
+
+    The ids are those of the library ``tokenizers`` with byte_bpe_50k.json; they come from ``tiktoken`` with the ranks of the
+    same vocabulary, which a test holds against the other text by text and which takes a fifth of the time.
+    """
 
     def pieces(batches):
         import zlib
@@ -54,58 +58,69 @@ def token_pieces(docs: DataFrame, size: int, path: str | None = None, ids: bool
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
-def patterns(size: int, lengths: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
-    """Up to ``most`` patterns of one to three lengths that fill ``size``, ascending in each row, 0 for none; only lengths that occur.
+def patterns(size: int, counts: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
+    """Up to ``most`` patterns that fill ``size``, as rows (length, repeats) for at most three lengths, 0 and 0 for none; only lengths that occur.
 
-    All singles and pairs come first. Of the triples (there are about size^2 / 12) as many as are left are drawn, evenly
-    over their shortest length, so that every length has patterns to be in.
+    All pairs of two documents and all repeats of one length come first. Of the others (about size^2 / 12 of three
+    documents, and far more of repeated short ones) as many as are left are drawn, the same number for every length, so
+    that each has patterns to be in: a number of repeats of it, a second length by its share of all documents and its
+    repeats, and the one length that fills what is left.
     """
-    has = np.zeros(size + 1, bool)
-    has[lengths] = True
-    one = np.array([[0, 0, size]]) if has[size] else np.zeros((0, 3), int)
-    a = np.arange(1, size // 2 + 1)
-    a = a[has[a] & has[size - a]]
-    two = np.stack([0 * a, a, size - a], 1)
-    room = max(0, most - len(one) - len(two))
-    short = np.arange(1, size // 3 + 1)
-    short = short[has[short]]
+    has = counts > 0
+    has[0] = False
+    lengths = np.flatnonzero(has)
+    if not len(lengths):
+        return np.zeros((0, 6), np.int64)
+    same = lengths[size % lengths == 0]
+    found = [np.stack([same, size // same, 0 * same, 0 * same, 0 * same, 0 * same], 1)]
+    a = lengths[(lengths * 2 < size)]
+    a = a[has[size - a]]
+    found.append(np.stack([size - a, 0 * a + 1, a, 0 * a + 1, 0 * a, 0 * a], 1))
+    room = max(0, most - sum(map(len, found)))
     rng = np.random.default_rng(seed)
-    three = []
-    for s in short:
-        b = np.arange(s, (size - s) // 2 + 1)
-        b = b[has[b] & has[size - s - b]]
-        share = -(-room // len(short))
-        b = b if len(b) <= share else np.sort(rng.choice(b, share, replace=False))
-        three.append(np.stack([0 * b + s, b, size - s - b], 1))
-    return np.concatenate([one, two, *three]).astype(np.int64)[:most] if three else np.concatenate([one, two]).astype(np.int64)
-
-
-def fit(pats: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
+    share = -(-room // len(lengths))
+    odds = counts[lengths] / counts[lengths].sum()
+    for n in lengths:
+        tries = 24 * share
+        m = rng.integers(1, size // n + 1, tries)
+        rest = size - m * n
+        second = rng.choice(lengths, tries, p=odds)
+        k = rng.integers(0, np.maximum(rest // second, 0) + 1)
+        third = rest - k * second
+        ok = (third >= 0) & (has[third] | (third == 0)) & ((k > 0) | (third > 0))
+        rows = np.stack([0 * m + n, m, np.where(k > 0, second, 0), k, third, (third > 0) * 1], 1)[ok]
+        if len(rows):
+            rows = np.unique(rows, axis=0)
+            found.append(rows if len(rows) <= share else rows[np.sort(rng.choice(len(rows), share, replace=False))])
+    return np.concatenate(found).astype(np.int64)[:most]
+
+
+def fit(pats: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient: repeats ``x`` of ``pats`` whose documents come nearest to ``counts`` (by length).
 
-    The matrix is never built: a pattern adds to three lengths, so both products are sums by index.
+    The matrix is never built: a pattern adds to three lengths, so both products are sums by index. Its steps are scaled
+    by the row sums of the normal matrix, which bound it, so that rare and common lengths move alike.
     """
     size = len(counts) - 1
     if not len(pats) or not counts.sum():
         return np.zeros(len(pats))
+    at, reps = pats[:, ::2], pats[:, 1::2].astype(float)
     b = counts.astype(float)
     b[0] = 0
 
     def times(x):
         y = np.zeros(size + 1)
         for k in range(3):
-            y += np.bincount(pats[:, k], x, size + 1)
+            y += np.bincount(at[:, k], x * reps[:, k], size + 1)
         y[0] = 0
         return y
 
     def back(r):
-        return r[pats[:, 0]] + r[pats[:, 1]] + r[pats[:, 2]]
+        return (r[at] * reps).sum(1)
 
-    # A diagonal step from the degrees of the lengths, so that rare and common lengths move alike.
-    degree = np.maximum(times(np.ones(len(pats))), 1)
-    step = 1 / (3 * np.maximum.reduce([degree[pats[:, 0]] * (pats[:, 0] > 0), degree[pats[:, 1]] * (pats[:, 1] > 0), degree[pats[:, 2]]]))
-    share = b / degree
-    x = np.min(np.where(pats > 0, share[pats], np.inf), axis=1)
+    rows = np.maximum(times(np.ones(len(pats))), 1)
+    step = 1 / back(rows)
+    x = np.min(np.where(reps > 0, (b / rows)[at], np.inf), axis=1)
     y, t = x.copy(), 1.0
     for _ in range(steps):
         new = np.maximum(0, y - step * back(times(y) - b))
@@ -126,9 +141,9 @@ def round_within(pats: np.ndarray, x: np.ndarray, counts: np.ndarray, up: float)
 
     def take(i, n):
         used: dict[int, int] = {}
-        for v in pats[i]:
-            if v:
-                used[int(v)] = used.get(int(v), 0) + 1
+        for v, m in zip(pats[i, ::2].tolist(), pats[i, 1::2].tolist()):
+            if m:
+                used[v] = used.get(v, 0) + m
         n = min([n, *(int(left[v]) // m for v, m in used.items())])
         if n > 0:
             reps[i] += n
@@ -140,12 +155,33 @@ def round_within(pats: np.ndarray, x: np.ndarray, counts: np.ndarray, up: float)
         take(i, int(x[i]))
     part = x - np.floor(x)
     for i in np.argsort(-part, kind="stable"):
-        if part[i] < up:
+        if part[i] < up or not part[i]:
             break
         take(i, 1)
     return reps, left
 
 
+def by_patterns(counts: np.ndarray, most: int, ups: tuple[float, ...], turns: int = 4) -> list[tuple[list[tuple[tuple[int, ...], int]], np.ndarray]]:
+    """For each way to round (``ups``), packs by fitted patterns and what is left of ``counts``. What a turn leaves is fitted again, on fewer patterns of its own lengths, as long as a turn places a tenth of it."""
+    first = patterns(len(counts) - 1, counts, most)
+    fitted = fit(first, counts)
+    ways = []
+    for up in ups:
+        packs, left, pats, x = [], counts.copy(), first, fitted
+        left[0] = 0
+        for turn in range(1, turns + 1):
+            reps, after = round_within(pats, x, left, up)
+            for row, r in zip(pats[reps > 0].tolist(), reps[reps > 0].tolist()):
+                packs.append((tuple(v for v, m in zip(row[::2], row[1::2]) for _ in range(m)), r))
+            few, left = left.sum() - after.sum() < 0.1 * left.sum(), after
+            if few or turn == turns:
+                break
+            pats = patterns(len(counts) - 1, left, most // 4, 7 + turn)
+            x = fit(pats, left)
+        ways.append((packs, left))
+    return ways
+
+
 def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """What no pattern took, longest first, each into the open sequences with the least room that holds it; alike sequences are handled as one, so the work depends on the number of lengths and not of documents."""
     size = len(left) - 1
@@ -185,16 +221,10 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return done + [(p, r) for by in open_ for p, r in by.items()]
 
 
-def plan(counts: np.ndarray, most: int = 60_000) -> list[tuple[tuple[int, ...], int]]:
-    """Packs as (lengths, repeats) for a histogram: pattern packing, then best fit for the rest. Of three ways to round the fitted repeats, down, to the nearest and up, the one that needs the fewest sequences is taken."""
-    lengths = np.flatnonzero(counts[1:]) + 1
-    pats = patterns(len(counts) - 1, lengths, most)
-    x = fit(pats, counts)
-    ways = []
-    for up in (2.0, 0.5, 0.0):
-        reps, left = round_within(pats, x, counts, up)
-        ways.append([(tuple(int(v) for v in p if v), int(r)) for p, r in zip(pats, reps) if r] + best_fit(left))
-    return min(ways, key=lambda packs: sum(r for _, r in packs))
+def plan(counts: np.ndarray, most: int = 40_000) -> list[tuple[tuple[int, ...], int]]:
+    """Packs as (lengths, repeats) for a histogram: pattern packing, then best fit for the rest. Fitted repeats are rounded up or to the nearest; the way that needs fewer sequences is taken, of equal ones that in which patterns place more documents."""
+    ways = [(packs + best_fit(left), int(left.sum())) for packs, left in by_patterns(counts, most, (0.0, 0.5))]
+    return min(ways, key=lambda way: (sum(r for _, r in way[0]), way[1]))[0]
 
 
 def places(packs: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, np.ndarray]:
@@ -213,23 +243,26 @@ def places(packs: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, np.
     return {n: np.array(r, np.int64) for n, r in rows.items()}
 
 
-def pack(pieces: DataFrame, size: int = 2048, most_patterns: int = 60_000, salts: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, most_patterns: int = 40_000, group: int = 50_000) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to ``size``) with ``sequence_id`` and ``offset``.
 
     Only the histogram of lengths, ``size`` numbers at most, comes to the driver. The packs that ``plan`` makes are
     bounded by ``most_patterns`` and ``size``, not by the rows; they go to the executors with the task. A piece finds its
     place by its rank among the pieces of its length: ranks are counted within (length, salt) and shifted by the salts
-    before, so a length of a third of the pieces is spread over ``salts`` groups.
+    before, with as many salts as keep groups near ``group`` pieces should all have one length. The salt is drawn for each
+    row and stored with it, so that rows repeated ever so often are spread as well.
     """
-    pieces = store(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
-    spark = pieces.sparkSession
+    pieces = store(pieces.withColumn("__sl_at", F.monotonically_increasing_id()))
+    spark, columns = pieces.sparkSession, [c for c in pieces.columns if c != "__sl_at"]
+    salts = max(64, pieces.count() // group)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("__sl_at"), F.lit(salts)).cast("int"))
     groups = store(pieces.groupBy("length", "salt").count())
     counts = np.zeros(size + 1, np.int64)
     for n, c in groups.groupBy("length").agg(F.sum("count")).collect():
         counts[n] = c
     rows = places(plan(counts, most_patterns), size)
     before = groups.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "__sl_at")) - 1)
     sent = spark.sparkContext.broadcast(rows)  # at most most_patterns + a few thousand packs of 3 longs a length
 
     def place(batches):
@@ -246,20 +279,22 @@ def pack(pieces: DataFrame, size: int = 2048, most_patterns: int = 60_000, salts
                 own = by[int(n)]
                 row = own[np.searchsorted(own[:, 0], rank[at], "right") - 1]
                 seq[at], off[at] = row[:, 1] + rank[at] - row[:, 0], row[:, 2]
-            keep = [n for n in names if n not in ("rank", "before", "salt", "sequence_id", "offset")]
+            keep = [n for n in names if n not in ("rank", "before", "sequence_id", "offset")]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in keep), pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
     from .common import plus
 
-    return ranked.join(before, ["length", "salt"]).select(*pieces.columns, "rank", "before").mapInArrow(place, plus(pieces.drop("salt"), "sequence_id long, offset long"))
+    placed = ranked.join(before, ["length", "salt"]).select(*columns, "rank", "before")
+    return placed.mapInArrow(place, plus(pieces.select(*columns), "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, size: int = 2048, path: str | None = None, ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids`` if asked for).
 
     A document is its ids and id 0. Null or empty text: the single id 0. Documents longer than ``size`` are cut into
-    pieces of ``size``, the first of which may be shorter. Repeated rows are packed each; null ``doc_id`` stays null.
-    Empty table: empty result. Other columns are left out.
+    pieces of ``size``, the first of which may be shorter; a very long text is tokenized whole, its ids in memory at once.
+    Repeated rows are packed each; null ``doc_id`` stays null; pieces of one length are told apart by nothing else, so
+    ties go by the order of the rows. Empty table: empty result. Other columns are left out, whatever their names.
     """
     return pack(token_pieces(docs, size, path, ids), size)
 

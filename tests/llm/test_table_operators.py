@@ -208,6 +208,35 @@ def test_plan_packs_every_length_once(seed):
         assert n <= 1.004 * sum(r for _, r in packing.best_fit(counts.copy()))
 
 
+@pytest.mark.parametrize("mean, spread, n", [(5.0, 0.8, 50_000), (6.2, 0.9, 20_000)])
+def test_patterns_place_most_documents(mean, spread, n):
+    rng = np.random.default_rng(9)
+    counts = np.bincount(np.clip(rng.lognormal(mean, spread, n).astype(int), 1, 2048), minlength=2049)
+    placed = max(1 - left.sum() / counts.sum() for _, left in packing.by_patterns(counts, 40_000, (0.0, 0.5)))
+    assert placed >= 0.8
+    assert sum(r for _, r in packing.plan(counts)) <= sum(r for _, r in packing.best_fit(counts))
+
+
+def test_packing_of_a_long_text_and_repeated_rows(spark, rows):
+    rng = random.Random(40)
+    items = [(1, text(rng, 60_000)), (None, "same"), (None, "same"), (2, None)] + [(7, "copies of one row")] * 50
+    got = packing.pack_documents(rows(items)).collect()
+    enc = packing.encoding()
+    n = len(enc.encode(items[0][1])) + 1
+    long = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 1)
+    assert long == [(i, at, k) for i, (at, k) in enumerate(packing.cut(n, 2048))]
+    assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 7 for r in got) == 50
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        at = 0
+        for offset, k in sorted(own):
+            assert offset == at
+            at += k
+        assert at <= 2048
+
+
 def brute_links(items, words=5, t=0.8):
     sets = []
     for _, x in items:
