@@ -221,3 +221,75 @@ def test_evaluation(spark):
     subsets = evaluate.nested_subsets(df, "e", [3, 10]).groupBy("subset").count().orderBy("subset").collect()
     assert [tuple(r) for r in subsets] == [(3, 3), (10, 7)]
     assert evaluate.parameter_product({"a": [1, 2], "b": ["x", "y", "z"]}, spark).count() == 6
+
+
+def test_runs_and_correlations_are_those_of_the_chain():
+    """Against the chain stepped site by site with its classes."""
+    m = identity.SurvivalModel(4, shape=0.7, region=6.0, categories=5)
+    row = 600
+    e, stay = m.unchanged[row], m.stay
+    step = stay * np.eye(5) + (1 - stay) / 5
+
+    def chance(sites):
+        """That the sites at which ``sites`` is 1 are unchanged."""
+        x = np.full(5, 0.2)
+        for i, s in enumerate(sites):
+            x = (x @ step if i else x) * (e if s else 1)
+        return x.sum()
+
+    s = chance([1] * 4)
+    assert m.survivals[row] == pytest.approx(s, rel=1e-12)
+    for lag in (1, 3, 4, 5, 9, 40):
+        sites = [int(i < 4 or lag <= i < lag + 4) for i in range(lag + 4)]
+        assert m._correlations[row, lag - 1] == pytest.approx((chance(sites) - s * s) / (s * (1 - s)), rel=1e-9)
+    n = 7
+    want = 1 + 2 * 0.3 * sum((1 - j / n) * m._correlations[row, j - 1] for j in range(1, n))
+    assert m.inflation(row, 0.3, n) == pytest.approx(want, rel=1e-12)
+
+
+def test_truncated_counts():
+    for v in (0.0, 0.2):
+        d = estimators.Truncated(v, 400)
+        h = np.arange(1, 400)
+        # The term in h alone that ``logpmf`` leaves out.
+        logs = d.logpmf(h, np.array(2.5)) - np.cumsum(np.log(h))
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-9)
+        assert d.rate((np.exp(logs) * h).sum()) == pytest.approx(2.5, rel=1e-6)
+
+
+def test_mixture_and_dispersion_find_what_was_put_in(spark):
+    rng = np.random.default_rng(7)
+    hits = {1: rng.poisson(4, 3000), 2: np.r_[rng.poisson(3, 3000), rng.poisson(20, 1500)], 3: rng.negative_binomial(4, 0.5, 3000)}
+    rows = [(u, u * 100_000 + i, float(c)) for u, h in hits.items() for i, c in enumerate(h) if c] + [(u, 9, 5.0) for u in hits]
+    k = spark.createDataFrame(rows, "unit long, hash long, hits double")
+    cov = spark.createDataFrame([(1, 4.0), (2, 8.0), (3, 4.0), (4, 1.0)], "unit long, coverage double")
+    got = {r.unit: r for r in estimators.rate_mixture(k, cov).collect()}
+    assert got[1].mix_rates == 1 and got[1].coverage_mix == pytest.approx(4, rel=0.02) and got[4].mix_rates == 1
+    assert got[2].mix_rates >= 2 and got[2].coverage_mix / 8 == pytest.approx(20 / np.r_[hits[2][hits[2] > 0]].mean(), rel=0.15)
+    d = {r.unit: r.dispersion for r in estimators.dispersion(k, cov).collect()}
+    assert d[1] == pytest.approx(1, abs=0.1) and d[3] > 1.5 and d[4] == 1
+
+
+def test_posterior_holds_what_was_put_in(spark):
+    rng = np.random.default_rng(8)
+    rate, share, m = {1: 5.0, 2: 2.0}, {1: 0.8, 2: 0.6}, 400
+    kmers, reads, n = [], [], 0
+    for u in rate:
+        for i in range(m):
+            h = 1000 * u + i
+            if rng.random() < share[u] and (c := rng.poisson(rate[u])):
+                kmers.append((0, u, h, float(m), float(m), 1.0))
+                for _ in range(c):
+                    reads.append((0, h, n, 1))
+                    n += 1
+    # A third unit with nothing of its own shares the k-mers of the first.
+    kmers += [(0, 3, h, 400.0, 400.0, 1.0) for _, u, h, *_ in list(kmers) if u == 1 and h % 2]
+    k = spark.createDataFrame(kmers, "component long, unit long, hash long, m_g double, pin_sum double, present_prob double")
+    r = spark.createDataFrame(reads, "component long, hash long, read long, n long")
+    got = {x.unit: x for x in estimators.posterior(k, r, draws=30, sweeps=6).collect()}
+    # Resampled reads scatter more than a Poisson, which the fit takes for fewer k-mers at a higher coverage; their product holds.
+    assert 1.8 < got[2].coverage_lo < got[2].coverage_hi < 3.3
+    assert got[2].abundance_lo < 2.0 * 0.6 < got[2].abundance_hi
+    assert got[2].own_evidence == 1 and got[3].own_evidence == 0 and got[1].ambiguity_group == got[3].ambiguity_group == 1
+    again = {x.unit: x for x in estimators.posterior(k.repartition(3), r.repartition(2), draws=30, sweeps=6).collect()}
+    assert got == again
