@@ -14,7 +14,7 @@ from .common import plus, with_text
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----((?:[^-]|-(?!----))*+)-----END \1-----")
 #: What string literals write for a character: line ends and tabs, slashes, code points; also a line end after a backslash.
 ESCAPE = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|([nrt])|(/)|\r?\n)")
@@ -29,6 +29,8 @@ LINE = re.compile(rf"[A-Za-z0-9+/_-]+|{BREAK}")
 #: How base64 of a DER sequence and of the other form's name begins; what a DER key's first bytes are; base64 of "-----BEGIN " at each of three places.
 START = re.compile(r"M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA")
 HEAD = re.compile(rb"0(?:[\0-\x7f]|\x81.|\x82..|\x83...|\x84....)(?:\x02\x01[\0\1]|0(?:[\0-\x7f]|\x81.|\x82..)\x06.\*\x86H\x86\xf7\r\x01(?:\x05|\x0c\x01))", re.S)
+#: The object identifiers of password-based encryption, 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 ARMOUR_CODED = re.compile(r"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
 ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 KINDS = ("assign", "access", "hex", "signed", "armour", "key")
@@ -61,28 +63,44 @@ def children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
+def sound(data: bytes, parts: list[tuple[int, int, int]], depth: int = 16) -> bool:
+    """Whether the lengths of all elements nested in ``parts`` come out even, ``depth`` levels down at most."""
+    for tag, at, end in parts:
+        if tag & 0x20:
+            inner = children(data, at, end) if depth else None
+            if inner is None or not sound(data, inner, depth - 1):
+                return False
+    return True
+
+
+def algorithm(data: bytes, part: tuple[int, int, int]) -> bytes:
+    """The object identifier that an algorithm's element begins with, b"" for none."""
+    inner = children(data, *part[1:])
+    return data[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 0x06 and inner[0][2] - inner[0][1] >= 2 else b""
+
+
 def der_key(data: bytes) -> str:
-    """The kind of key that ``data`` encodes in DER, "" for none; every nested length must come out even."""
+    """The kind of key that ``data`` encodes in DER, "" for none; every nested length must come out even. What holds an algorithm and a string of bytes is an encrypted key only if the algorithm is password-based encryption, not a digest or a signature."""
     top = tlv(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data):
         return ""
     parts = children(data, *top[1:])
-    if not parts:
+    if not parts or not sound(data, parts):
         return ""
     tags = [p[0] for p in parts]
     version = data[parts[0][1] : parts[0][2]] if tags[0] == 0x02 else None
-    if version in (b"\0", b"\1") and len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
+    if version in (b"\0", b"\1") and tags[:9] == [0x02] * 9 and tags[9:] in ([], [0x30]) and all(p[2] > p[1] for p in parts[:9]):
         return "rsa"
-    if version == b"\0" and len(tags) == 6 and all(t == 0x02 for t in tags):
+    if version == b"\0" and tags == [0x02] * 6 and all(p[2] > p[1] for p in parts):
         return "dsa"
-    if version in (b"\0", b"\1") and len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:
-        inner = children(data, *parts[1][1:])
-        return "pkcs8" if inner and inner[0][0] == 0x06 else ""
-    if version == b"\1" and len(tags) >= 2 and tags[1] == 0x04 and all(t in (0xA0, 0xA1) for t in tags[2:]) and all(children(data, *p[1:]) for p in parts[2:]):
+    if version in (b"\0", b"\1") and tags[1:3] == [0x30, 0x04] and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:]):
+        # The string of bytes is the key's own element: a sequence, a number or a string of bytes.
+        own = tlv(data, *parts[2][1:])
+        return "pkcs8" if algorithm(data, parts[1]) and own and own[0] in (0x30, 0x02, 0x04) and own[2] == parts[2][2] and sound(data, [own]) else ""
+    if version == b"\1" and tags[1:2] == [0x04] and parts[1][2] > parts[1][1] and all(t in (0xA0, 0xA1) for t in tags[2:]) and all(children(data, *p[1:]) for p in parts[2:]):
         return "ec"
     if tags == [0x30, 0x04]:
-        inner = children(data, *parts[0][1:])
-        return "encrypted" if inner and inner[0][0] == 0x06 else ""
+        return "encrypted" if algorithm(data, parts[0]).startswith(PASSWORD_BASED) else ""
     return ""
 
 
@@ -204,7 +222,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     taken: list[tuple[int, int]] = []
-    if "." in text and "ey" in text:
+    if "." in text and ("ey" in text or "ew" in text):
         for m in SIGNED.finditer(text):
             if signed_header(m[1]) and decode64(m[2]) and (not m[3] or decode64(m[3])):
                 found.append(("signed", *m.span()))
@@ -229,7 +247,8 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``secrets`` (array of kind, start, end; code points, end exclusive).
 
-    A narrow plan: each text is read once where it lies and nothing is dealt out. Null or empty text: an empty array.
+    A narrow plan: each text is read once where it lies and nothing is dealt out; a very long text is scanned whole, in the
+    memory of one task. Null or empty text: an empty array. Spans that begin together are ordered by kind and then end.
     Repeated rows are scanned each. Columns of other names pass through; ``secrets`` is replaced. Empty table: empty.
     """
 

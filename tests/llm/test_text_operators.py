@@ -313,3 +313,45 @@ def test_chats(spark):
     assert [got[1].formatted[s.start : s.end] for s in got[1].loss_spans] == ["b", "b"]
     assert got[1].formatted_chars == len(got[1].formatted)
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])
+    return bytes([tag]) + size + body
+
+
+def test_only_keys_are_keys():
+    from strandlake.llm.secrets import der_key, find_secrets
+
+    oid = lambda h: der(0x06, bytes.fromhex(h))
+    digest = der(0x30, der(0x30, oid("608648016503040201"), der(0x05)), der(0x04, bytes(range(32))))
+    locked = der(0x30, der(0x30, oid("2a864886f70d01050d"), der(0x30, der(0x30, oid("2a864886f70d01050c")))), der(0x04, bytes(range(48))))
+    assert der_key(digest) == "" and der_key(locked) == "encrypted"
+    for data, n in ((digest, 0), (locked, 1)):
+        for coded in (base64.b64encode(data).decode(), data.hex().upper()):
+            assert sum(k == "key" for k, *_ in find_secrets(f"x {coded} y")) == n
+    rsa = der(0x30, der(0x02, b"\0"), *(der(0x02, bytes([i + 1] * 16)) for i in range(8)))
+    pkcs8 = lambda own: der(0x30, der(0x02, b"\0"), der(0x30, oid("2a864886f70d010101"), der(0x05)), der(0x04, own))
+    assert der_key(rsa) == "rsa" and der_key(pkcs8(rsa)) == "pkcs8" and der_key(pkcs8(rsa[:-1])) == "" and der_key(pkcs8(b"plain bytes here")) == ""
+    # A nested length that leaves its parent.
+    assert der_key(der(0x30, der(0x30, oid("2a864886f70d01050d"), bytes([0x30, 9, 0x05, 0])), der(0x04, bytes(range(48))))) == ""
+
+
+@pytest.mark.parametrize("header", ['{"alg":"HS256"}', '{\n  "alg": "HS256",\n  "typ": "JWT"\n}', '{\r\n"alg":"none"}', '{\t"alg":"ES256"}', '{ "alg": "RS256" }'])
+def test_signed_headers_however_written(header):
+    from strandlake.llm.secrets import find_secrets
+
+    coded = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    token = f"{coded(header)}.{coded('{}')}.{coded('signature bytes')}"
+    assert ("signed", 2, 2 + len(token)) in find_secrets(f"a {token} b")
+
+
+def test_scan_of_empty_and_very_long(spark, rows):
+    from strandlake.llm.secrets import scan_secrets
+
+    docs = rows([(1, "word " * 300_000 + "AKIA" + "A" * 16), (1, "word " * 300_000 + "AKIA" + "A" * 16)])
+    got = scan_secrets(docs).select("secrets").collect()
+    assert [[(x.kind, x.start) for x in r.secrets] for r in got] == [[("access", 1_500_000)]] * 2
+    assert scan_secrets(docs.where("false")).count() == 0
