@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+#: Characters of the longest name that a host can have, and so 127 labels at most.
+LONGEST = 253
 #: What an entry may do, the strongest last: of entries of one key and day the strongest holds.
 ACTIONS = ("remove", "allow", "block")
 
 
 def host_of(url: Column) -> Column:
-    """A URL's host in lower case, without a last dot; null if it has none."""
+    """A URL's host in lower case, without a last dot; null if it has none, or one longer than the 253 characters that a host's name can have."""
     host = F.lower(F.regexp_replace(F.regexp_extract(url, HOST, 1), r"\.$", ""))
-    return F.when(F.length(host) > 0, host)
+    return F.when(F.length(host).between(1, LONGEST), host)
 
 
 def suffixes(host: str) -> Column:
@@ -22,7 +24,7 @@ def suffixes(host: str) -> Column:
         rf"""if({host} rlike '^[0-9.]+$' or size(split({host}, '[.]')) < 3,
             array(struct(size(split({host}, '[.]')) as labels, {host} as key)),
             transform(sequence(0, size(split({host}, '[.]')) - 2),
-                      i -> struct(size(split({host}, '[.]')) - i as labels, array_join(slice(split({host}, '[.]'), i + 1, 1000), '.') as key)))"""
+                      i -> struct(size(split({host}, '[.]')) - i as labels, array_join(slice(split({host}, '[.]'), i + 1, {LONGEST}), '.') as key)))"""
     )
 
 
@@ -50,7 +52,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Only distinct pairs of host and day are looked up. The as-of join puts pairs of key and day and the intervals into
     one window per key, ordered by day, and carries the last interval forward: a key has no more rows there than there
     are days, even if a third of all captures have its host. Captures meet the verdicts by host and day, in a join that
-    Spark may split. Null or unreadable url, or null ``fetched``: nothing matches, not blocked. Repeated rows are judged
+    Spark may split. Null or unreadable url (without a host, or with one over 253 characters, which
+    no name can have), or null ``fetched``: nothing matches, not blocked. Very long paths are not looked at. Repeated rows are judged
     each. Empty table or list: empty result or nothing blocked. The four columns are replaced if they exist.
     """
     rest = captures.select(*(c for c in captures.columns if c not in ("host", "matched_key", "listed_from", "blocked"))).withColumn("host", host_of(F.col("url")))
@@ -89,11 +92,13 @@ def op10_url_filters(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH page AS (
-  SELECT page_id, nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', '')), '') AS host,
+WITH named AS (
+  SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.$', '')) AS name FROM pages
+), page AS (
+  SELECT page_id, CASE WHEN length(name) BETWEEN 1 AND 253 THEN name END AS host,
          DATE '2023-01-01' + CAST((page_id * 131) % 730 AS INTEGER) AS fetched,
          DATE '2023-01-01' + CAST((page_id * 37 + 11) % 730 AS INTEGER) AS listed
-  FROM pages
+  FROM named
 ), entry AS (
   SELECT CASE WHEN page_id % 4 = 3 AND len(string_split(host, '.')) >= 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS key, listed,
          max(CASE page_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END) AS rank

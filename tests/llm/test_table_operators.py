@@ -413,6 +413,8 @@ def test_url_lists(spark):
     e = spark.createDataFrame(entries, "key string, listed date, action string")
     got = sorted((r.id, r.matched_key or "", r.blocked) for r in url_lists.judge_captures(c, e).collect())
     assert got == [(1, "", False), (2, "bad.com", True), (2, "bad.com", True), (3, "bad.com", True), (4, "", False), (5, "ok.bad.com", False), (6, "", False), (7, "", False), (8, "", False), (9, "1.2.3.4", True)]
+    long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "bad.com/", day(5)), (2, "http://" + "a." * 120 + "bad.com/", day(5)), (3, "http://bad.com/" + "p" * 100_000, day(5))], "id long, url string, fetched date")
+    assert sorted((r.id, r.matched_key) for r in url_lists.judge_captures(long, e).collect()) == [(1, None), (2, "bad.com"), (3, "bad.com")]
     assert url_lists.judge_captures(c, e.where("false")).where("blocked").count() == 0
     assert url_lists.judge_captures(c.where("false"), e).count() == 0
 
