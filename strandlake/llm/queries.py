@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, line_dedup, mixing, neighbours, packing, quality, secrets, surrogates, url_lists
+from . import chat, collocations, infilling, jaccard, line_dedup, mixing, neighbours, packing, quality, secrets, surrogates, toxicity, url_lists
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,16 @@ QUERIES = {
         neighbours.op8_nearest_neighbours,
         packing.op9_best_fit_packing,
         url_lists.op10_url_filters,
+        infilling.op11_fill_in_middle,
+        toxicity.op12_toxicity,
+        collocations.op13_collocations,
     )
 }
 
-SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op7_chat_formatting": chat.OP7_SQL, "op10_url_filters": url_lists.OP10_SQL}
+SQL = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_chat_formatting": chat.OP7_SQL,
+    "op10_url_filters": url_lists.OP10_SQL,
+    "op11_fill_in_middle": infilling.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
+}
