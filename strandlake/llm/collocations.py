@@ -21,7 +21,7 @@ _PIECES = bytes(BREAK[0] if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 els
 #: Bytes of a text that are read at a time.
 SLICE = 4 << 20
 #: Occurrences, distinct words and languages that a trie holds before it is written out.
-MOST_HELD, MOST_WORDS, MOST_LANGS = 3_000_000, 500_000, 1000
+MOST_HELD, MOST_WORDS, MOST_LANGS = 1_500_000, 400_000, 1000
 #: Occurrences for which one prefix range is meant, and sampled phrases for each range.
 PER_RANGE, SAMPLED = 1_000_000, 40
 UNKNOWN = "und"
@@ -73,8 +73,10 @@ class Trie:
         two = one & (b > 0)
         three = two & (c > 0)
         high, pair = a << 2 * BITS, b << BITS
-        paths, counts = np.unique(np.concatenate([high[one], (high + pair)[two], (high + pair + c)[three]]), return_counts=True)
-        return words, paths, counts
+        paths = np.concatenate([high[one], (high + pair)[two], (high + pair + c)[three]])
+        paths.sort()
+        heads = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1]])) if len(paths) else np.zeros(0, np.int64)
+        return words, paths[heads], np.diff(heads, append=len(paths))
 
 
 def least_path(words: list[bytes], phrase: tuple[bytes, ...]) -> int:
@@ -91,18 +93,25 @@ def least_path(words: list[bytes], phrase: tuple[bytes, ...]) -> int:
 
 
 def packed(words: list[bytes], paths: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """A piece of a trie as bytes: its words, and its paths in ranks of these with their counts, column by column."""
+    """A piece of a trie as bytes: its words, and its paths in ranks of these with their counts, column by column and byte by byte, so that they compress."""
+    import zstandard
+
     levels = np.stack([paths >> BITS * (DEPTH - 1 - d) & LOW for d in range(DEPTH)])
     used = np.unique(levels)
     used = used[used > 0]
     own = np.searchsorted(used, levels) + 1
     own[levels == 0] = 0
-    return b" ".join(words[i - 1] for i in used), np.concatenate([*own, counts]).astype("<u4").tobytes()
+    own[0] = np.diff(own[0], prepend=0)
+    planes = np.vstack([own, counts]).astype("<u4").view("u1").reshape(DEPTH + 1, -1, 4).transpose(0, 2, 1)
+    return b" ".join(words[i - 1] for i in used), zstandard.compress(planes.tobytes(), 1)
 
 
 def unpacked(words: bytes, body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    levels = np.frombuffer(body, "<u4").astype(np.int64).reshape(DEPTH + 1, -1)
-    return words.split(b" "), (levels[0] << 2 * BITS) + (levels[1] << BITS) + levels[2], levels[3]
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(body), "u1").reshape(DEPTH + 1, 4, -1)
+    levels = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+    return words.split(b" "), (np.cumsum(levels[0]) << 2 * BITS) + (levels[1] << BITS) + levels[2], levels[3]
 
 
 def pieces(lang: str, trie: Trie, bounds: list[tuple[str, tuple[bytes, ...]]]):
@@ -229,8 +238,7 @@ def merged_tries(pieces_table: DataFrame, ranges: int, least: int) -> DataFrame:
                     current, tries, above = at, defaultdict(Merged), defaultdict(set)
                 piece = unpacked(words, body)
                 above[lang].update(tuple(piece[0][x - 1].decode() for x in (int(p) >> 2 * BITS, int(p) >> BITS & LOW, int(p) & LOW) if x) for p in piece[1][:spine])
-                order = np.argsort(piece[1], kind="stable")
-                tries[lang].add(piece[0], piece[1][order], piece[2][order])
+                tries[lang].add(*piece)
         yield from out(tries, above)
 
     dealt = pieces_table.select("range", "lang", "words", "body", "spine").repartition(ranges, "range").sortWithinPartitions("range")
