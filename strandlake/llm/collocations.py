@@ -21,9 +21,9 @@ _PIECES = bytes(BREAK[0] if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 els
 #: Bytes of a text that are read at a time.
 SLICE = 4 << 20
 #: Occurrences, distinct words and languages that a trie holds before it is written out.
-MOST_HELD, MOST_WORDS, MOST_LANGS = 1_500_000, 400_000, 1000
+MOST_HELD, MOST_WORDS, MOST_LANGS = 1_000_000, 300_000, 1000
 #: Occurrences for which one prefix range is meant, and sampled phrases for each range.
-PER_RANGE, SAMPLED = 1_000_000, 40
+PER_RANGE, SAMPLED = 500_000, 40
 UNKNOWN = "und"
 
 
@@ -103,15 +103,21 @@ def packed(words: list[bytes], paths: np.ndarray, counts: np.ndarray) -> tuple[b
     own[levels == 0] = 0
     own[0] = np.diff(own[0], prepend=0)
     planes = np.vstack([own, counts]).astype("<u4").view("u1").reshape(DEPTH + 1, -1, 4).transpose(0, 2, 1)
-    return b" ".join(words[i - 1] for i in used), zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(b" ".join(words[i - 1] for i in used), 1), zstandard.compress(planes.tobytes(), 1)
 
 
-def unpacked(words: bytes, body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def unpacked_words(words: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.decompress(words).split(b" ")
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     planes = np.frombuffer(zstandard.decompress(body), "u1").reshape(DEPTH + 1, 4, -1)
     levels = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
-    return words.split(b" "), (np.cumsum(levels[0]) << 2 * BITS) + (levels[1] << BITS) + levels[2], levels[3]
+    return (np.cumsum(levels[0]) << 2 * BITS) + (levels[1] << BITS) + levels[2], levels[3]
 
 
 def pieces(lang: str, trie: Trie, bounds: list[tuple[str, tuple[bytes, ...]]]):
@@ -171,38 +177,50 @@ def shard_tries(docs: DataFrame, bounds: list[tuple[str, tuple[bytes, ...]]]) ->
 
 
 class Merged:
-    """The tries of one prefix range, added up one by one; what waits is merged once it is as large as what is merged."""
+    """The tries of one prefix range, added up; those that wait do so packed, until they are as large as what is merged."""
 
     def __init__(self):
         self.words: list[bytes] = []
         self.paths, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.waiting: list[tuple[list[bytes], np.ndarray, np.ndarray]] = []
+        self.waiting: list[tuple[bytes, bytes]] = []
         self.held = 0
-
-    def add(self, words: list[bytes], paths: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((words, paths, counts))
-        self.held += len(paths)
-        if self.held >= max(len(self.paths), 500_000):
+        self.above: set[tuple[str, ...]] = set()
+
+    def add(self, words: bytes, body: bytes, spine: int) -> None:
+        self.waiting.append((words, body))
+        self.held += len(words) + len(body)
+        if spine:
+            own = unpacked_words(words)
+            self.above.update(tuple(own[x - 1].decode() for x in (p >> 2 * BITS, p >> BITS & LOW) if x) for p in unpacked(body)[0][:spine].tolist())
+        if self.held >= max(2 * len(self.paths), 1 << 20):
             self.merge()
 
     def merge(self) -> None:
-        runs = [(self.words, self.paths, self.counts), *self.waiting]
-        words = sorted(set().union(*(r[0] for r in runs)))
+        known = set(self.words)
+        for own, _ in self.waiting:
+            known.update(unpacked_words(own))
+        words = sorted(known)
         place = {w: i for i, w in enumerate(words, 1)}
-        moved = []
-        for own, paths, _ in runs:
-            to = np.array([0, *(place[w] for w in own)], np.int64)
-            moved.append((to[paths >> 2 * BITS] << 2 * BITS) + (to[paths >> BITS & LOW] << BITS) + to[paths & LOW])
-        paths, counts = np.concatenate(moved), np.concatenate([r[2] for r in runs])
+
+        def moved(own: list[bytes], paths: np.ndarray) -> np.ndarray:
+            to = np.array([0, *map(place.__getitem__, own)], np.int64)
+            return (to[paths >> 2 * BITS] << 2 * BITS) + (to[paths >> BITS & LOW] << BITS) + to[paths & LOW]
+
+        runs = [(moved(self.words, self.paths), self.counts)]
+        for own, body in self.waiting:
+            paths, counts = unpacked(body)
+            runs.append((moved(unpacked_words(own), paths), counts))
+        self.waiting, self.held = [], 0
+        paths, counts = (np.concatenate(x) for x in zip(*runs))
+        del runs
         order = np.argsort(paths, kind="stable")  # of sorted runs: a merge
         paths, counts = paths[order], counts[order]
         heads = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1]])) if len(paths) else np.zeros(0, np.int64)
         self.words, self.paths = words, paths[heads]
         self.counts = np.add.reduceat(counts, heads) if len(heads) else counts
-        self.waiting, self.held = [], 0
 
     def frequent(self, least: int):
-        """``depth, words, f, l1, l2`` of paths counted ``least`` times: a walk down the trie gives the counts of the first one and two words."""
+        """``depth, words, f, l1, l2`` of the range's own paths counted ``least`` times: a walk down the trie gives the counts of the first one and two words."""
         self.merge()
         paths, counts = self.paths, self.counts
         depth = 1 + (paths >> BITS & LOW > 0) + (paths & LOW > 0)
@@ -211,7 +229,9 @@ class Merged:
         for i, one, two in zip(at.tolist(), ones.tolist(), twos.tolist()):
             path, deep = int(paths[i]), int(depth[i])
             ids = (path >> 2 * BITS, path >> BITS & LOW, path & LOW)[:deep]
-            yield deep, [self.words[x - 1].decode() for x in ids], int(counts[i]), int(counts[one]), int(counts[two])
+            phrase = [self.words[x - 1].decode() for x in ids]
+            if tuple(phrase) not in self.above:
+                yield deep, phrase, int(counts[i]), int(counts[one]), int(counts[two])
 
 
 def merged_tries(pieces_table: DataFrame, ranges: int, least: int) -> DataFrame:
@@ -223,23 +243,21 @@ def merged_tries(pieces_table: DataFrame, ranges: int, least: int) -> DataFrame:
 
         kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64()]
 
-        def out(tries, above):
+        def out(tries):
             for lang, trie in sorted(tries.items()):
-                rows = [(lang, *row) for row in trie.frequent(least) if tuple(row[1]) not in above[lang]]
+                rows = [(lang, *row) for row in trie.frequent(least)]
                 for i in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 20_000]), kinds)], list(names))
 
-        current, tries, above = None, defaultdict(Merged), defaultdict(set)
+        current, tries = None, defaultdict(Merged)
         for batch in batches:
             for i in range(batch.num_rows):
-                at, lang, words, body, spine = (batch.column(k)[i].as_py() for k in range(5))
+                at, lang, *piece = (batch.column(k)[i].as_py() for k in range(5))
                 if at != current:
-                    yield from out(tries, above)
-                    current, tries, above = at, defaultdict(Merged), defaultdict(set)
-                piece = unpacked(words, body)
-                above[lang].update(tuple(piece[0][x - 1].decode() for x in (int(p) >> 2 * BITS, int(p) >> BITS & LOW, int(p) & LOW) if x) for p in piece[1][:spine])
+                    yield from out(tries)
+                    current, tries = at, defaultdict(Merged)
                 tries[lang].add(*piece)
-        yield from out(tries, above)
+        yield from out(tries)
 
     dealt = pieces_table.select("range", "lang", "words", "body", "spine").repartition(ranges, "range").sortWithinPartitions("range")
     return dealt.mapInArrow(merge, ", ".join(f"{n} {k}" for n, k in names.items()))
