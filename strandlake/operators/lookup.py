@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmers import ordered_bound, unsigned
+from ..lineage import cut
 from .index_build import KmerIndex
 
 
@@ -15,6 +16,33 @@ def unit_hits(reads: DataFrame, index: KmerIndex, tier: DataFrame | None = None)
     return reads.select("read", "hash").join(held.where(unsigned("hash") <= F.col("bound_g")).select("hash", "unit", "pin_q"), "hash")
 
 
+def parted_tier(dense: DataFrame, units: DataFrame, path: str, parts: int = 64) -> DataFrame:
+    """The dense tier written to ``path`` in folders of consecutive units (``part``), sorted by hash in each, and read back: a lookup for some units reads their folders only, and of these the row groups around its hashes."""
+    n = F.broadcast(units.agg(F.greatest(F.max("unit") + 1, F.lit(1)).alias("_units")))  # one row
+    part = F.floor(F.col("unit") * parts / F.col("_units")).cast("int")
+    rows = dense.crossJoin(n).withColumn("part", part).drop("_units")
+    rows.repartition("part").sortWithinPartitions("part", "hash").write.mode("overwrite").partitionBy("part").parquet(path)
+    return dense.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def tiered_hits(reads: DataFrame, index: KmerIndex, dense: DataFrame, least: int = 1, parts: int = 64) -> DataFrame:
+    """``read, hash, unit, pin_q`` in the dense tier for units of which the standard tier hits ``least`` distinct k-mers.
+
+    The standard tier, which is small, says which units are there; only then is the dense one read, in the folders of
+    those units (``dense`` as ``parted_tier`` gives it), where their rows meet the reads' distinct hashes before the reads
+    themselves. At most ``parts`` numbers of folders reach the driver. Units without a name or bound of their own are
+    never resolved row by row: join the units' table to what is summed up.
+    """
+    found = unit_hits(reads, index).select("unit", "hash").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("_n"))
+    found = cut(found.where(F.col("_n") >= least).select("unit"))
+    n = index.units.agg(F.greatest(F.max("unit") + 1, F.lit(1)).alias("_units"))
+    folders = found.crossJoin(F.broadcast(n)).select(F.floor(F.col("unit") * parts / F.col("_units")).cast("int").alias("part")).distinct()
+    chosen = sorted(r["part"] for r in folders.collect())
+    keys = reads.select("hash").distinct()
+    rows = dense.where(F.col("part").isin(chosen) if chosen else F.lit(False)).join(found, "unit", "left_semi").join(keys, "hash", "left_semi")
+    return reads.select("read", "hash").join(rows.select("hash", "unit", "pin_q"), "hash")
+
+
 def kmer_hits(hits: DataFrame) -> DataFrame:
     """``hash, unit, pin_q, hits, holders``: how often a posting was hit, and how many units share the k-mer."""
     each = hits.groupBy("hash", "unit").agg(F.first("pin_q").alias("pin_q"), F.count(F.lit(1)).alias("hits"))

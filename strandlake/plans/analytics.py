@@ -214,6 +214,21 @@ def em_poisson_distributed(spark, d):
     return named(estimators.poisson_em_distributed(k), i).select("unit_key", "coverage")
 
 
+@R.add("""WITH truth AS (SELECT l_suppkey AS unit, round(avg(l_quantity)) AS coverage FROM lineitem GROUP BY 1)
+SELECT unit::BIGINT AS unit, coverage::DOUBLE AS coverage FROM truth""")
+def em_in_blocks(spark, d):
+    """One component of all suppliers, which share parts: every k-mer is hit as often as its holders' coverages sum up to, so these are the fixed point that the blocks must find."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("unit"), "l_partkey", "l_quantity")
+    truth = lines.groupBy("unit").agg(F.round(F.avg("l_quantity")).alias("true"))
+    parts = lines.select("unit", F.col("l_partkey").cast("long").alias("hash")).distinct()
+    own = lines.select("unit", (-100 * F.col("unit") - F.col("l_quantity").cast("long")).alias("hash")).distinct()
+    held = cut(parts.unionByName(own).join(truth, "unit"))
+    hits_ = held.groupBy("hash").agg(F.sum("true").alias("hits"))
+    sizes = held.groupBy("unit").agg(F.count(F.lit(1)).alias("m_g"))
+    rows = held.join(hits_, "hash").join(sizes, "unit").select(F.lit(0).cast("long").alias("component"), "unit", "hash", "hits", "m_g")
+    return estimators.em(rows, most_rows=5_000, tol=1e-6).select("unit", F.round("coverage", 1).alias("coverage"))
+
+
 @R.add()
 def em_zero_inflated(spark, d):
     i, _, k = _components(spark, d)

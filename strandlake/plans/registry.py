@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, relational, sequences, streams
+from . import analytics, layers, relational, sequences, streams
 
-MODULES = [relational, sequences, analytics, streams]
+MODULES = [relational, sequences, analytics, layers, streams]
 QUERIES = {name: f for m in MODULES for name, f in m.R.queries.items()}
 SQL = {name: q for m in MODULES for name, q in m.R.sql.items()}

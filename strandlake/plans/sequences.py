@@ -6,13 +6,15 @@ source and language, a member a document.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabets import alphabet
 from ..functions.kmers import KmerParams, base_counts, bound, read_kmers, target_kmers
 from ..functions.sequences import mask_adapters, mask_quality_column, reverse_complement_column, translate_column
-from ..lineage import cut
+from ..lineage import checkpoint_folder, cut
 from ..operators import assign, index_build, lookup
 from ..operators.index_build import IndexParams, KmerIndex
 from .tables import Registry, table
@@ -294,6 +296,18 @@ def containment(spark, d):
     return sums.select("unit_key", "kmers_hit", "hits", "own_kmers", "reads", F.round("containment", 8).alias("containment"))
 
 
+@R.add(_HITS + f""", found AS (SELECT unit_key, count(DISTINCT h)::BIGINT AS kmers FROM hit GROUP BY 1 HAVING count(DISTINCT h) >= 2),
+dense AS (SELECT g.h, g.unit_key FROM grouped g JOIN units u ON g.unit_key = u.unit_key AND g.h <= greatest(u.b, {bound(P.t_dense)}::UHUGEINT) WHERE n_groups <= {P.max_groups})
+SELECT d.unit_key, count(DISTINCT d.h)::BIGINT AS kmers, count(*)::BIGINT AS hits, count(DISTINCT rk.item_id)::BIGINT AS reads FROM dense d JOIN found f ON f.unit_key = d.unit_key JOIN rk ON rk.h = d.h GROUP BY 1""")
+def two_tier_hits(spark, d):
+    """Hits in the dense tier of units of which the standard tier hits two k-mers."""
+    i = index(spark, d)
+    dense = lookup.parted_tier(i.dense, i.units, f"{checkpoint_folder(spark)}/tier/{uuid.uuid4().hex}")
+    found = lookup.tiered_hits(reads(spark, d), i, dense, 2)
+    sums = found.groupBy("unit").agg(F.count_distinct("hash").alias("kmers"), F.count(F.lit(1)).alias("hits"), F.count_distinct("read").alias("reads"))
+    return named(sums, i).select("unit_key", "kmers", "hits", "reads")
+
+
 @R.add(_HITS + "SELECT n_hits, count(*)::BIGINT AS reads FROM (SELECT read, count(*)::BIGINT AS n_hits FROM hit GROUP BY 1) GROUP BY 1")
 def hits_per_read_histogram(spark, d):
     return lookup.reads_histogram(hits(spark, d)[1])
