@@ -120,3 +120,33 @@ def test_relatives(spark):
     assert [(r.id, r.other, r.shared) for r in got] == [(1, 2, 5), (2, 1, 5), (3, 1, 2)]
     e = sketch.unit_evidence(spark.createDataFrame([(1, 5), (1, 6)], "read long, hash long"), spark.createDataFrame([(5, 9, 3.0), (6, 9, 2.0)], "hash long, unit long, bits double"), 1.5)
     assert e.first().score == 3.5
+
+
+def test_chains_are_longest_and_fast():
+    """Against all pairs of seeds on small input; a hundred thousand seeds take well under a second of work each."""
+    import random
+    import time
+
+    from strandlake.operators.align import chain
+
+    rng = random.Random(6)
+    for _ in range(300):
+        seeds = [(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(0, 25))]
+        got = chain(seeds, 3)
+        if not seeds:
+            assert got == []
+            continue
+        on = {}
+        for i, j in set(seeds):
+            on[j - i] = on.get(j - i, 0) + 1
+        centre = min(on, key=lambda d: (-on[d], d))
+        own = sorted({s for s in seeds if abs(s[1] - s[0] - centre) <= 3})
+        longest = {}
+        for i, j in own:
+            longest[i, j] = 1 + max((n for (p, q), n in longest.items() if p < i and q < j), default=0)
+        assert len(got) == max(longest.values()) and set(got) <= set(own)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+    many = [(i + rng.randrange(3), i + rng.randrange(3)) for i in range(100_000)]
+    began = time.process_time()
+    assert len(chain(many)) > 30_000
+    assert time.process_time() - began < 3
