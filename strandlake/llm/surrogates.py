@@ -47,7 +47,7 @@ def class_of(c: str) -> str:
     return "" if own is None or own is False else "".join(x for x in map(chr, range(first, first + 128)) if x.isalpha() and x not in CLASS_OF and cased(x) is not False and cased(x) == own)
 
 
-ADDRESS_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+ADDRESS_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 ADDRESS_RIGHT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 NUMBERS = re.compile(
     r"""(?<![\w.+])(?:
@@ -91,10 +91,13 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     at = text.find("@")
     while at >= 0:
-        left = ADDRESS_LEFT.search(text, max(0, at - 64), at)
         right = ADDRESS_RIGHT.match(text, at + 1)
-        if left and right:
-            start = left.start() + len(left[0]) - len(left[0].lstrip(".%+-"))
+        if right:
+            start = at  # back to what no address has, which an "@" is as well: every letter is passed once
+            while start and text[start - 1] in ADDRESS_LEFT:
+                start -= 1
+            while start < at and text[start] in ".%+-":
+                start += 1
             if start < at:
                 found.append((start, right.end(), "email", text[start : right.end()].lower()))
         at = text.find("@", at + 1)

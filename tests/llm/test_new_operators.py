@@ -184,3 +184,12 @@ def test_scores_stay_exact_beyond_64_bits(spark):
     finally:
         C.phrase_counts = old
     assert row["score"] == 1_000_000 * big * big // (6 * big * big)
+
+
+def test_long_addresses_are_replaced_whole(spark):
+    from strandlake.llm import surrogates
+
+    for n in (1, 63, 64, 65, 80, 5000):
+        text = f"write to ..{'a' * n}@example.org, or not"
+        assert [(s, e, k) for s, e, k, _ in surrogates.find_entities(text)] == [(11, 11 + n + 12, "email")]
+    assert surrogates.find_entities("x@@y.org a@b ...@c.org") == []
