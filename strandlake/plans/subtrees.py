@@ -53,8 +53,10 @@ walk AS (SELECT 0::BIGINT AS lo, n AS hi, ceil(log2(greatest(n, 2)))::INTEGER AS
   SELECT * FROM (SELECT lo, least(lo + (1::BIGINT << greatest(j - 1, 0)), hi) AS hi, j - 1 AS j FROM walk WHERE hi - lo > 1 AND j > 0
     UNION ALL SELECT lo + (1::BIGINT << greatest(j - 1, 0)), hi, j - 1 FROM walk WHERE hi - lo > 1 AND j > 0 AND lo + (1::BIGINT << greatest(j - 1, 0)) < hi)),
 moved AS (SELECT DISTINCT a.before AS lo, b.upto AS hi FROM walk JOIN rank a ON a.pos = walk.lo JOIN rank b ON b.pos = walk.hi - 1 WHERE b.upto > a.before)
-SELECT m.lo::BIGINT AS lo, m.hi::BIGINT AS hi, arg_min(u.lo, u.hi - u.lo)::BIGINT AS up_lo, arg_min(u.hi, u.hi - u.lo)::BIGINT AS up_hi
+SELECT m.lo::BIGINT AS lo, m.hi::BIGINT AS hi, coalesce(arg_min(u.lo, u.hi - u.lo), -1)::BIGINT AS up_lo, coalesce(arg_min(u.hi, u.hi - u.lo), -1)::BIGINT AS up_hi
 FROM moved m LEFT JOIN moved u ON u.lo <= m.lo AND m.hi <= u.hi AND u.hi - u.lo > m.hi - m.lo GROUP BY m.lo, m.hi""")
 def restricted_tree(spark, d):
+    """The tree over the parts whose size is a multiple of seven; -1 above the top."""
     leaves = _leaves(spark, d)
-    return subtrees.restricted_tree(_nodes(leaves), leaves, leaves.where(F.col("size") % 7 == 0))
+    found = subtrees.restricted_tree(_nodes(leaves), leaves, leaves.where(F.col("size") % 7 == 0))
+    return found.fillna(-1, ["up_lo", "up_hi"])
