@@ -34,7 +34,7 @@ def running_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFr
     return own.join(F.broadcast(shift), "_p").withColumn(name, F.col(name) + F.col("_s")).drop("_p", "_s")
 
 
-def unit_positions(rows: DataFrame, rounds: int = 10) -> DataFrame:
+def unit_positions(rows: DataFrame, rounds: int = 16) -> DataFrame:
     """``component, unit, n_rows, x``: places on a line at which units that share k-mers lie near each other.
 
     Places begin at random (by a hash); each moves half way to the mean, over the unit's shared k-mers, of where their
@@ -56,7 +56,7 @@ def unit_positions(rows: DataFrame, rounds: int = 10) -> DataFrame:
     return x
 
 
-def unit_blocks(rows: DataFrame, most_rows: int, rounds: int = 10) -> DataFrame:
+def unit_blocks(rows: DataFrame, most_rows: int, rounds: int = 16) -> DataFrame:
     """``component, unit, block``: consecutive units in the order of ``unit_positions`` with about ``most_rows`` rows together, over by one unit's at most; no block spans two components."""
     placed = running_sum(unit_positions(rows, rounds), ["component", "x", "unit"], "n_rows", "_before")
     first = placed.groupBy("component").agg(F.min("_before").alias("_first"))
