@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, layers, relational, sequences, streams, subtrees
+from . import analytics, layers, relational, sequences, spanning, streams, subtrees
 
-MODULES = [relational, sequences, analytics, layers, subtrees, streams]
+MODULES = [relational, sequences, analytics, layers, subtrees, spanning, streams]
 QUERIES = {name: f for m in MODULES for name, f in m.R.queries.items()}
 SQL = {name: q for m in MODULES for name, q in m.R.sql.items()}
