@@ -42,18 +42,18 @@ def spanning_tree_ranges(spark, d):
 _HASH = "('0x' || substr(md5(w), 1, 12))::BIGINT"
 
 
-@R.add(_FOREST + f""", held AS (SELECT DISTINCT pos, {_HASH} AS hash FROM laid JOIN (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS w FROM documents) USING (id)),
-kmer AS (SELECT pos, hash, hash / 281474976710656.0::DOUBLE AS u FROM held WHERE hash / 281474976710656.0::DOUBLE > 0.01::DOUBLE),
+@R.add(_FOREST + f""", held AS (SELECT DISTINCT pos, {_HASH} AS hash FROM laid JOIN (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z]{{4,}} [A-Za-z]{{4,}}')) AS w FROM documents) USING (id)),
+kmer AS (SELECT pos, hash, hash / 281474976710656.0::DOUBLE AS u FROM held WHERE hash / 281474976710656.0::DOUBLE > 0),
 counted AS (SELECT lo, hi, hash, u, count(*) AS c FROM node JOIN kmer ON pos >= lo AND pos < hi GROUP BY ALL),
-bound AS (SELECT lo, hi, greatest(0.01::DOUBLE, least(1::DOUBLE, 20::DOUBLE / greatest(count(*) / 0.99::DOUBLE, 1))) AS t FROM counted GROUP BY ALL),
+bound AS (SELECT lo, hi, least(1::DOUBLE, 20::DOUBLE / greatest(count(*), 1)) AS t FROM counted GROUP BY ALL),
 best AS (SELECT lo, hi, c, row_number() OVER (PARTITION BY lo, hi ORDER BY c DESC, hash) AS r FROM counted JOIN bound USING (lo, hi) WHERE u <= t),
 judged AS (SELECT n.lo, n.hi, coalesce(sum(b.c)::DOUBLE / count(b.c) / (n.hi - n.lo), 1) AS coherence, count(b.c) AS keys FROM node n LEFT JOIN best b ON b.lo = n.lo AND b.hi = n.hi AND r <= 20 GROUP BY n.lo, n.hi)
-SELECT j.lo::BIGINT AS lo, j.hi::BIGINT AS hi, round(coherence, 9) AS coherence, keys::BIGINT AS keys FROM judged j WHERE (coherence >= 0.5 OR j.hi - j.lo = 1)
-AND NOT EXISTS (SELECT 1 FROM judged a WHERE a.lo <= j.lo AND j.hi <= a.hi AND a.hi - a.lo > j.hi - j.lo AND NOT (a.coherence < 0.5 AND a.hi - a.lo > 1))""")
+SELECT j.lo::BIGINT AS lo, j.hi::BIGINT AS hi, round(coherence, 9) AS coherence, keys::BIGINT AS keys FROM judged j WHERE (coherence >= 0.1 OR j.hi - j.lo = 1)
+AND NOT EXISTS (SELECT 1 FROM judged a WHERE a.lo <= j.lo AND j.hi <= a.hi AND a.hi - a.lo > j.hi - j.lo AND NOT (a.coherence < 0.1 AND a.hi - a.lo > 1))""")
 def coherent_pieces(spark, d):
-    """The forest cut into subtrees whose documents share words: half of them have, on average, each of the twenty that most have, of a sample of words by hash."""
+    """The forest cut into subtrees whose documents share pairs of words: a tenth of them have, on average, each of the twenty that most have, of a sample by hash."""
     placed = _forest(spark, d)
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,} [A-Za-z]{4,}"), F.lit(0))).alias("w")).distinct()
     hashed = words.select("node", F.conv(F.substring(F.md5("w"), 1, 12), 16, 10).cast("long").alias("hash"))
     held = hashed.join(placed.select("node", "pos"), "node").select("pos", "hash", (F.col("hash") / F.lit(float(1 << 48))).alias("u"))
-    return spanning.coherent_pieces(spanning.spanning_ranges(placed), held, 20, 0.5, 0.01).withColumn("coherence", F.round("coherence", 9))
+    return spanning.coherent_pieces(spanning.spanning_ranges(placed), held, 20, 0.1).withColumn("coherence", F.round("coherence", 9))
