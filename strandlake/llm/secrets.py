@@ -6,6 +6,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -107,7 +109,7 @@ def der_key(data: bytes) -> str:
 def ssh_end(data: bytes) -> int:
     """Where a private key in the form that begins with its name ends, whose four leading strings have lengths that fit; 0 for none."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if data[: len(magic)] != magic:
         return 0
     at = len(magic)
     for _ in range(3):
@@ -164,35 +166,57 @@ def armoured_key(label: str, body: str) -> bool:
     return bool(locked and data and (not locked[1].upper().endswith("CBC") or len(locked[2]) in (16, 32) and len(data) % (len(locked[2]) // 2) == 0))
 
 
-def place(text: str, region: re.Match, n: int) -> int:
-    """Where in ``text`` the coded character ``n`` of a region is."""
-    for x in LINE.finditer(text, region.start(), region.end()):
-        if x[0][0] not in BLANK:
-            if n < len(x[0]):
-                return x.start() + n
-            n -= len(x[0])
-    raise IndexError(n)
-
-
 def loose64(text: str) -> bytes:
     """What ``text`` without padding stands for in either alphabet or both, but for a last character that is too much."""
     text = text[: len(text) - (len(text) % 4 == 1)]
     return base64.b64decode(text.replace("-", "+").replace("_", "/") + "=" * (-len(text) % 4))
 
 
+class Coded:
+    """The bytes that base64 text stands for from character ``at`` on (``size`` of them, by default all), decoded only where they are looked at: what a key's first lengths rule out costs no more than these."""
+
+    def __init__(self, text: str, at: int, size: int | None = None):
+        n = len(text) - at
+        self.text, self.at, self.size = text, at, (n - (n % 4 == 1)) * 3 // 4 if size is None else size
+        self.first, self.block = 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int | slice):
+        if isinstance(i, slice):
+            a, b, _ = i.indices(self.size)
+            first = a // 3
+            return loose64(self.text[self.at + first * 4 : self.at - (-b // 3 * 4)])[a - first * 3 : b - first * 3] if a < b else b""
+        if not 0 <= i < self.size:
+            raise IndexError(i)
+        if not self.first <= i < self.first + len(self.block):
+            self.first = i - i % 3
+            self.block = self[self.first : self.first + 96]
+        return self.block[i - self.first]
+
+
 def coded_keys(text: str, region: re.Match) -> list[tuple[int, int]]:
-    """Spans of the private keys within a region of base64 lines, wherever they begin: in DER, by name, or as an armoured block that is itself coded."""
-    bare = "".join(x for x in LINE.findall(region[0]) if x[0] not in BLANK)
+    """Spans of the private keys within a region of base64 lines, wherever they begin: in DER, by name, or as an armoured block that is itself coded. Candidates are read length by length; only a key is decoded whole."""
+    lines = [x for x in LINE.finditer(text, region.start(), region.end()) if x[0][0] not in BLANK]
+    begins = list(accumulate((len(x[0]) for x in lines), initial=0))
+    bare = "".join(x[0] for x in lines)
+
+    def place(n: int) -> int:
+        """Where in ``text`` the coded character ``n`` is."""
+        k = bisect_right(begins, n) - 1
+        return lines[k].start() + n - begins[k]
+
     spans, end = [], 0
     for s in START.finditer(bare):
         at, named = s.start(), s[0][0] == "b"
         if at < end or at and not named and not HEAD.match(loose64(bare[at : at + 36])):
             continue
-        data = loose64(bare[at:])
+        data = Coded(bare, at)
         top = None if named else tlv(data, 0, len(data))
         n = ssh_end(data) if named else top[2] if top else 0
         to = at - (-n * 4 // 3)
-        if n and (named or der_key(data[:n])) and decode64(bare[at:to]):
+        if n and (named or der_key(Coded(bare, at, n))) and decode64(bare[at:to]):
             spans.append((at, to))
             end = to
     if ARMOUR_CODED.search(bare):
@@ -203,8 +227,8 @@ def coded_keys(text: str, region: re.Match) -> list[tuple[int, int]]:
                     spans.append((skip + m.start() // 3 * 4, min(skip - (-m.end() // 3 * 4), len(bare))))
     out = []
     for a, b in sorted(spans):
-        last = place(text, region, b - 1) + 1
-        out.append((place(text, region, a), last + len(re.match("={0,2}", text[last : last + 2])[0])))
+        last = place(b - 1) + 1
+        out.append((place(a), last + len(re.match("={0,2}", text[last : last + 2])[0])))
     return out
 
 
@@ -232,10 +256,14 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             if armoured_key(m[1], m[2]):
                 found.append(("armour", *m.span()))
                 taken.append(m.span())
+    # Starts in order with the farthest end so far, so that one search says whether a place is in any of them.
+    taken.sort()
+    starts, ends = [x for x, _ in taken], list(accumulate((y for _, y in taken), max))
+    free = lambda a: not (k := bisect_right(starts, a)) or a >= ends[k - 1]
     end = 0
     while m := CODED.search(text, end):
         region = WRAPPED.match(text, m.start())
-        found += [("key", a, b) for a, b in coded_keys(text, region) if not any(x <= a < y for x, y in taken)]
+        found += [("key", a, b) for a, b in coded_keys(text, region) if free(a)]
         end = region.end()
     for m in ANY_HEX.finditer(text):
         data = bytes.fromhex(m[0]) if m[0][:2] in ("30", "6f", "6F") else b""
