@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plus, with_text
@@ -16,6 +16,8 @@ LOWER = bytes(range(97, 123))
 FEATURES = ("bias", "words", "symbols", "bars", "upper", "exclaims", "digits", "repeats", "adjacent", "ends", "seen", "short", "no_letters")
 #: Labelled rows of each class that training may gather, and lines of one such text.
 MOST_LABELLED, MOST_LINES = 2000, 2000
+#: Lines of all texts that the field is trained on, together: at 4 bytes a feature, 26 MB on the driver.
+MOST_TRAINED_LINES = 500_000
 
 
 def repeated_words(ids: list[int], distinct: int) -> int:
@@ -176,7 +178,11 @@ class LineField:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[np.ndarray], list[bool]]:
-    """Line features of at most ``most`` labelled texts of each class, drawn by a hash of ``doc_id``, and whether each is good. A document of both labels counts as bad."""
+    """Line features of at most ``most`` labelled texts of each class, drawn by a hash of ``doc_id``, and whether each is good. A document of both labels counts as bad.
+
+    Rows of one ``doc_id`` count as one text, the least of them. Texts are taken in the order of the hash until they have
+    ``MOST_TRAINED_LINES`` lines together, so what reaches the driver has a bound in bytes however long they are.
+    """
     one = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
     few = drawn[0].unionByName(drawn[1])  # at most 2 * most rows of two numbers
@@ -185,11 +191,17 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> t
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(line_features(text or b"")[0], q) for text, q in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist())]
-            rows = [(np.array(x, "<f4").tobytes(), bool(q)) for x, q in rows if 0 < len(x) <= MOST_LINES]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.bool_())], ["x", "good"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "quality").mapInArrow(features, "x binary, good boolean").collect()
+            made = [line_features(text or b"")[0] for text in batch.column(0).cast(pa.binary()).to_pylist()]
+            some = pa.array([i for i, x in enumerate(made) if 0 < len(x) <= MOST_LINES], pa.int64())
+            x = pa.array([np.array(made[i], "<f4").tobytes() for i in some.to_pylist()], pa.binary())
+            few_rows = batch.take(some)
+            yield pa.RecordBatch.from_arrays([x, few_rows.column(1).cast(pa.bool_()), few_rows.column(2), few_rows.column(3)], ["x", "good", "draw", "doc_id"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    made = texts.select("text", "quality", F.xxhash64("doc_id").alias("draw"), "doc_id").mapInArrow(features, "x binary, good boolean, draw long, doc_id " + docs.schema["doc_id"].dataType.simpleString())
+    # One row a drawn text, at most 2 * most of them.
+    upto = F.sum(F.length("x")).over(Window.orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = made.withColumn("_upto", upto).where(F.col("_upto") <= MOST_TRAINED_LINES * len(FEATURES) * 4).select("x", "good").collect()
     rows.sort(key=lambda r: (r["good"], bytes(r["x"])))
     return [np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)).astype(float) for r in rows], [r["good"] for r in rows]
 
