@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
@@ -27,6 +28,10 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def render_turns(turns: list[Turn]) -> str:
     """The production template: each turn as start mark, role, line end, text, end mark. A role's line ends are escaped too."""
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}\n" for role, text in turns)
@@ -39,15 +44,27 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         yield role, unescape(m[2]), m.start(2), m.end(2)
 
 
-def turn_pieces(render: Render, turns: Iterable[Turn], window: int = 64) -> Iterator[tuple[Turn, str]]:
+def turn_pieces(render: Render, turns: Iterable[Turn], window: int = 64, whole: bool = True) -> Iterator[tuple[Turn, str]]:
     """Each turn with the output that it adds, by rendering one more turn at a time.
 
     ``render`` is a black box. While a conversation has at most ``window`` turns every prefix is rendered from its first
     turn, and what the longer output adds is the turn's piece; if it does not begin with the shorter output the template
     rewrites history and ``HistoryRewritten`` is raised. Longer conversations go on in overlapping windows: a window
-    begins with the second half of the last one, which must render to the same pieces, so memory and work stay linear in
-    the turns. A template whose pieces depend on turns further back than half a window fails that test and raises too.
+    begins with the second half of the last one, which must render to the same pieces, so work stays linear in the turns.
+    A template whose pieces depend on turns further back than half a window fails that test and raises too.
+
+    What windows can't see, a template that rewrites turns far back, is found by rendering the whole conversation from its
+    first turn whenever its length beyond a window has doubled, and at its end: the output's length and digest must be
+    those of all pieces. That keeps a conversation in memory; ``whole=False`` leaves it out and needs one window only.
     """
+    told: list[Turn] = []
+    length, digest, due = 0, hashlib.sha256(), 2 * window
+
+    def compare() -> None:
+        out = render(told)
+        if len(out) != length or hashlib.sha256(_bytes(out)).digest() != digest.digest():
+            raise HistoryRewritten(f"the output of {len(told)} turns is not what they added one by one")
+
     seen: list[Turn] = []
     pieces: list[str] = []
     base = ""
@@ -75,24 +92,33 @@ def turn_pieces(render: Render, turns: Iterable[Turn], window: int = 64) -> Iter
             raise HistoryRewritten(f"turn {len(seen)}")
         pieces.append(out[len(base):])
         base = out
+        if whole:
+            told.append(turn)
+            length += len(pieces[-1])
+            digest.update(_bytes(pieces[-1]))
+            if len(told) == due:
+                compare()
+                due *= 2
         yield turn, pieces[-1]
+    # Up to a window's length the last output was the whole one.
+    if len(told) > window and 2 * len(told) != due:
+        compare()
 
 
-def format_chats(conversations: DataFrame, render: Render = render_turns, read=read_turns, loss_role: str = "assistant", window: int = 64, texts: bool = True) -> DataFrame:
-    """One row per conversation: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` and, if ``texts``, ``formatted`` and ``loss_spans`` (start and end of each text under the loss mask, in code points of ``formatted``).
+def format_chats(conversations: DataFrame, render: Render = render_turns, read=read_turns, loss_role: str = "assistant", window: int = 64, texts: bool = True, whole: bool = True) -> DataFrame:
+    """One row per conversation: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewritten`` and, if ``texts``, ``formatted`` and ``loss_spans`` (start and end of each text under the loss mask, in code points of ``formatted``).
 
     Turns are ordered by ``turn``, then role and text, so ties and repeated rows have one order. All counts and digests
     are taken from the formatted output: ``read`` parses each piece that ``turn_pieces`` located. Rows are dealt by
     ``conv_id`` and sorted; a conversation then passes as a stream through one task, because its digest is sequential,
-    and without ``texts`` in the memory of one window, however long it is.
+    in the memory of its turns (with ``whole=False`` and without ``texts`` of one window), however long it is.
 
-    Null text or role: empty. Null turn: before all others. Null ``conv_id``: a conversation of its own. Empty table:
+    A conversation whose history the template rewrites (see ``turn_pieces``) has ``rewritten`` true and null in all columns
+    but ``conv_id``; the others go on. Null text or role: empty, and ordered as such. Null turn: before all others. Null ``conv_id``: a conversation of its own. Empty table:
     empty result. Other columns are left out.
     """
 
     def chats(batches):
-        import hashlib
-
         def rows():
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns))
@@ -100,21 +126,24 @@ def format_chats(conversations: DataFrame, render: Render = render_turns, read=r
         out: list[tuple] = []
         for conv_id, group in groupby(rows(), key=lambda r: r[0]):
             n = chars = loss_chars = 0
-            whole, loss = hashlib.sha256(), hashlib.sha256()
+            everything, loss = hashlib.sha256(), hashlib.sha256()
             formatted, spans = [], []
-            for _, piece in turn_pieces(render, ((role or "", text or "") for _, role, text in group), window):
-                for role, text, start, end in read(piece):
-                    n += 1
-                    whole.update(f"{role}\n{text}\n".encode())
-                    if role == loss_role:
-                        loss.update(text.encode())
-                        loss_chars += len(text)
-                        if texts:
-                            spans.append({"start": chars + start, "end": chars + end})
-                chars += len(piece)
-                if texts:
-                    formatted.append(piece)
-            out.append((conv_id, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, *(["".join(formatted), spans] if texts else [])))
+            try:
+                for _, piece in turn_pieces(render, ((role, text) for _, role, text in group), window, whole):
+                    for role, text, start, end in read(piece):
+                        n += 1
+                        everything.update(f"{role}\n{text}\n".encode())
+                        if role == loss_role:
+                            loss.update(text.encode())
+                            loss_chars += len(text)
+                            if texts:
+                                spans.append({"start": chars + start, "end": chars + end})
+                    chars += len(piece)
+                    if texts:
+                        formatted.append(piece)
+                out.append((conv_id, n, everything.hexdigest(), loss_chars, loss.hexdigest(), chars, False, *(["".join(formatted), spans] if texts else [])))
+            except HistoryRewritten:
+                out.append((conv_id, *[None] * 5, True, *([None, None] if texts else [])))
             if len(out) == 500 or texts and chars > 1 << 20:
                 yield batch_of(out)
                 out = []
@@ -122,7 +151,7 @@ def format_chats(conversations: DataFrame, render: Render = render_turns, read=r
             yield batch_of(out)
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    ddl = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    ddl = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten boolean"
     ddl += ", formatted string, loss_spans array<struct<start: long, end: long>>" if texts else ""
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -135,7 +164,8 @@ def format_chats(conversations: DataFrame, render: Render = render_turns, read=r
 
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    dealt = conversations.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = conversations.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(chats, ddl)
 
 
@@ -158,6 +188,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10)
-           || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+           || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars, false AS rewritten
 FROM rows_ GROUP BY conv_id
 """

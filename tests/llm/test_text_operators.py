@@ -305,6 +305,39 @@ def test_rewriting_templates_are_found():
         list(chat.turn_pieces(counted, [("a", "x")] * 40, 8))
 
 
+def test_far_rewriting_is_found_from_the_whole_conversation():
+    """The window agrees, but from 70 turns on the first turn is left out."""
+
+    def forgetful(turns):
+        return chat.render_turns(turns[1:] if len(turns) >= 70 else turns)
+
+    for n in (69, 70, 127, 128, 129, 300):
+        turns = [("user", f"turn {i}") for i in range(n)]
+        assert "".join(p for _, p in chat.turn_pieces(forgetful, turns, whole=False)) == chat.render_turns(turns)
+        if n < 70:
+            assert len(list(chat.turn_pieces(forgetful, turns))) == n
+        else:
+            with pytest.raises(chat.HistoryRewritten):
+                list(chat.turn_pieces(forgetful, turns))
+
+
+def test_one_rewritten_conversation_leaves_the_others(spark):
+    def forgetful(turns):
+        return chat.render_turns(turns[1:] if len(turns) >= 70 and turns[0][1] == "bad 0" else turns)
+
+    data = [(c, i, "assistant" if i % 2 else None if c == 3 else "user", f"{'bad' if c == 1 else 'turn'} {i}") for c, n in ((1, 200), (2, 300), (3, 5), (4, 64)) for i in range(n)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), forgetful).collect()}
+    assert {c: r.rewritten for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False}
+    assert (got[1].n_turns, got[1].formatted, got[1].turns_sha256) == (None, None, None)
+    assert got[2].formatted == chat.render_turns([("assistant" if i % 2 else "user", f"turn {i}") for i in range(300)]) and got[2].n_turns == 300
+
+
+def test_null_roles_and_empty_roles_are_one_order(spark):
+    data = [(1, 0, "", "b"), (1, 0, None, "a"), (1, 0, "", None)]
+    got = chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).first()
+    assert got.formatted == chat.render_turns([("", ""), ("", "a"), ("", "b")])
+
+
 def test_chats(spark):
     data = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, None, None, "x"), (None, 0, "user", "y")]
     df = spark.createDataFrame([(*r, "clash") for r in data], "conv_id long, turn long, role string, text string, formatted string")
