@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import KmerParams, mix, target_kmers, unmix, unsigned
+from ..functions.kmers import KmerParams, kmer_hashes, mix, unmix, unsigned
 from ..lineage import cut
 from .layers import least_keys, unit_budgets
 
@@ -51,21 +51,51 @@ def unit_representatives(members: DataFrame) -> DataFrame:
     return best.select("unit", F.col("b.id").alias("rep"), F.col("b.sequence").alias("sequence"), "members")
 
 
+def kmer_places(reps: DataFrame, p: KmerParams) -> DataFrame:
+    """``unit, n, hash, places``: each distinct k-mer of a sequence with where it begins, and how many places the sequence has (``reps``: ``unit, sequence``)."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType([reps.schema["unit"]] + StructType.fromDDL("n int, hash long, places array<int>").fields)
+
+    def find(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seqs = [s or b"" for s in batch.column(1).cast(pa.binary()).to_pylist()]
+            which, pos, h = kmer_hashes(seqs, p)
+            order = np.lexsort((pos, h, which))
+            which, pos, h = which[order], pos[order], h[order]
+            new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(h)].astype(np.int32)), pa.array(pos.astype(np.int32)))
+            sizes = np.array([len(s) - p.k + 1 for s in seqs], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[new])), pa.array(sizes[which[new]]), pa.array(h[new].view(np.int64)), lists], ["unit", "n", "hash", "places"])
+
+    return reps.select("unit", "sequence").mapInArrow(find, schema)
+
+
 def rarest_in_windows(reps: DataFrame, p: KmerParams, window: int) -> DataFrame:
     """Distinct ``unit, hash``: of every ``window`` consecutive k-mers of a representative the one that fewest representatives hold, ties to the least hash; shorter sequences are one window (``reps``: ``unit, sequence``, a row a unit).
 
-    Windows are Spark's, over the places of one sequence; places without a k-mer of valid letters begin windows too, but
-    never win. Holders are counted with partial sums, so that a k-mer of all representatives is no hot group.
+    Windows are Spark's, over the places of one sequence. Places without a k-mer of valid letters begin windows too, but
+    have no rows: what any window holds is what one holds that begins at a k-mer, begins right after one, ends at one, or
+    is the first or last. A k-mer's places travel as one list, and are parted only where they have been dealt by unit.
+    Holders are counted with partial sums, so that a k-mer of all representatives is no hot group.
     """
-    kmers = cut(target_kmers(reps, p, ["unit"], positions=True))
-    holders = kmers.select("unit", "hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    key = F.struct("n", unsigned("hash").alias("order"), "hash")
-    found = kmers.join(holders, "hash").select("unit", "pos", key.alias("key"))
-    last = F.octet_length("sequence") - p.k
-    starts = reps.where(last >= 0).select("unit", F.explode(F.sequence(F.lit(0), F.greatest(last - (window - 1), F.lit(0)))).alias("pos"), F.lit(True).alias("start"))
-    rows = found.withColumn("start", F.lit(False)).unionByName(starts.withColumn("key", F.lit(None).cast(found.schema["key"].dataType)))
-    least = F.min("key").over(Window.partitionBy("unit").orderBy("pos").rangeBetween(0, window - 1))
-    return rows.withColumn("least", least).where("start and least is not null").select("unit", F.col("least.hash").alias("hash")).distinct()
+    found = cut(kmer_places(reps, p))
+    holders = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c"))
+    dealt = found.join(holders, "hash").select("unit", "n", "c", "hash", "places").repartition("unit")
+    rows = dealt.select("unit", "n", F.struct("c", unsigned("hash").alias("order"), "hash").alias("key"), F.explode("places").alias("pos"))
+    along, all_of = Window.partitionBy("unit").orderBy("pos"), Window.partitionBy("unit")
+    least = lambda low, high: F.min("key").over(along.rangeBetween(low, high))
+    last = F.col("n") - window  # where the last window begins
+    winners = F.array(
+        F.when(F.col("pos") <= last, least(0, window - 1)),
+        F.when(F.col("pos") < last, least(1, window)),
+        F.when(F.col("pos") >= window - 1, least(1 - window, 0)),
+        F.when(F.row_number().over(along) == 1, F.min(F.when(F.col("pos") < window, F.col("key"))).over(all_of)),
+        F.when(F.row_number().over(along) == 1, F.min(F.when(F.col("pos") >= last, F.col("key"))).over(all_of)),
+    )
+    return rows.select("unit", winners.alias("winners")).select("unit", F.explode(F.array_distinct("winners")).alias("key")).where("key is not null").select("unit", F.col("key.hash").alias("hash")).distinct()
 
 
 def residue_bits(sequences: DataFrame, p: KmerParams) -> list[float]:
