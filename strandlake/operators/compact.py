@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import KmerParams, kmer_hashes, mix, unmix, unsigned
+from ..functions.kmers import KmerParams, kmer_hashes, mix, text_slices, unmix, unsigned
 from ..lineage import cut
 from .layers import least_keys, unit_budgets
 
@@ -60,7 +60,7 @@ def kmer_places(reps: DataFrame, p: KmerParams) -> DataFrame:
     def find(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x for b in batches for x in text_slices(b)):
             seqs = [s or b"" for s in batch.column(1).cast(pa.binary()).to_pylist()]
             which, pos, h = kmer_hashes(seqs, p)
             order = np.lexsort((pos, h, which))

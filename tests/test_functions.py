@@ -145,3 +145,41 @@ def test_small_estimators():
     assert N.emd(np.array([1, 0, 0]), np.array([0, 0, 1])) == 2
     mean, low, high = N.bootstrap_mean(np.array(random.Random(1).choices(range(10), k=200)))
     assert low < mean < high
+
+
+def test_texts_are_taken_in_slices():
+    """A batch is worked on by a bounded number of bytes at a time: every row once, in order, a longer one alone."""
+    import pyarrow as pa
+
+    from strandlake.functions.kmers import text_slices
+
+    texts = ["é" * 3, None, "", "a" * 50, "bc", "d" * 9, "e"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": texts})
+    got = [x.to_pydict() for x in text_slices(batch, 12)]
+    assert [i for x in got for i in x["id"]] == list(range(7)) and [t for x in got for t in x["text"]] == texts
+    assert [x["id"] for x in got] == [[0, 1, 2], [3], [4], [5, 6]]
+    assert list(text_slices(batch.slice(0, 0), 12)) == []
+
+
+def test_kmers_of_a_large_batch_come_in_bounded_pieces(spark, monkeypatch):
+    """A batch of 4 MB of texts is hashed a megabyte at a time, and no k-mer is lost."""
+    import pyarrow as pa
+
+    from strandlake.functions import kmers
+
+    class Table:
+        schema = spark.createDataFrame([], "id long, sequence string").schema
+        columns = schema.names
+
+        def select(self, *_):
+            return self
+
+        __getitem__ = select
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "sequence": ["ACDEFGHIKL" * 10000] * 40})
+    run = kmers.target_kmers(Table(), kmers.KmerParams(3), ["id"])
+    sizes = [x.num_rows for x in run(iter([batch]))]
+    assert sum(sizes) == 40 * 99_998 and max(sizes) <= kmers.TEXT
