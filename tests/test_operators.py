@@ -154,6 +154,32 @@ def test_chunks_and_votes(spark):
     assert [(r.leaf, r.votes) for r in tree.route_votes(reads, leaves, top=1).collect()] == [(9, 3)]
 
 
+def test_votes_equal_a_plain_loop_and_shuffle_no_hits(spark):
+    """Any number of groups, and chunks that part a read, give the same; the plan deals k-mers and never joins them."""
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    reads = sorted({(r, i, rng.randrange(6)) for r in range(12) for i in range(rng.randrange(60))} | {(1, 5, 0), (1, 5, 1)})
+    leaves = [(f"l{u}", i, rng.randrange(8)) for u in range(9) for i in range(40)]
+    votes = defaultdict(Counter)
+    for r, leaf, b, _ in {(r, leaf, (q - p) // 16, p) for r, p, h in reads for leaf, q, g in leaves if g == h}:
+        votes[r, leaf][b] += 1
+    best = {k: max(v[b] + v[b + 1] for x in v for b in (x, x - 1)) for k, v in votes.items()}
+    want = {(r, leaf, n) for (r, leaf), n in best.items() if sum(m > n for (q, _), m in best.items() if q == r) < 3}
+    a, b = spark.createDataFrame(reads, "read long, pos int, hash long"), spark.createDataFrame(leaves, "leaf string, pos int, hash long")
+    for sizes in ((200_000, 1_000_000), (50, 90)):
+        out = tree.route_votes(a, b, top=3, read_rows=sizes[0], leaf_rows=sizes[1])
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+    small = tree._band_votes(pa.Table.from_pylist([dict(zip(("read", "pos", "hash"), x)) for x in reads]), pa.Table.from_pylist([dict(zip(("leaf", "pos", "hash"), x)) for x in leaves]), 16, 3, most=100)
+    assert {tuple(x.values()) for x in small.to_pylist()} == want
+    for far in (5, 1 << 50):  # keys that fit one number, and that don't
+        rows = np.array([[far, 0, far, 0], [1 << 40, 7, 1 << 40, 6], [1, 2, 3, 4]])
+        assert tree._summed(rows).tolist() == [[0, 0, far], [6, 7, 1 << 40], [4, 2, 4]]
+
+
 def test_decoy_bar(spark):
     seeds = spark.createDataFrame([(float(s),) for s in [1, 2, 5, 6, 7]], "score double")
     decoys = spark.createDataFrame([(float(s),) for s in [1, 2, 2.5]], "score double")
