@@ -159,3 +159,24 @@ def test_nothing(spark):
     none, members = spark.createDataFrame([], HITS), spark.createDataFrame([], MEMBERS)
     assert anchored.route_calls(none, members, 3, 0.1).count() == 0
     assert anchored.route_calls(spark.createDataFrame([(1, 1, 0, "ACD", None)], HITS), members, 3, 0.1).count() == 0
+
+
+def test_pairs_and_candidates_are_never_rows(spark, monkeypatch):
+    """What is stored grows with reads and members, not with reads times units; blocks of any size give the same."""
+    import random
+
+    rng = random.Random(11)
+    letters = "ACDEFGHIKL"
+    word = lambda: "".join(rng.choices(letters, k=40))
+    rows = [(f, u, 10 * u + r, word()) for f in ("a", "b") for u in range(60) for r in range(2)]
+    reads = [(i, f, t[:25] + "-" * 15) for i in range(50) for f, _, _, t in rng.sample(rows, 2)]
+    members = spark.createDataFrame(rows, "family string, unit long, row long, residues string")
+    hits = spark.createDataFrame(reads, "read long, family string, residues string")
+    stored = []
+    real = anchored.cut
+    monkeypatch.setattr(anchored, "cut", lambda df: stored.append(real(df)) or stored[-1])
+    want = sorted(map(tuple, anchored.route_calls(hits, members, 8, 0.3).collect()), key=repr)
+    assert max(t.count() for t in stored) <= len(rows)
+    met = anchored._met
+    monkeypatch.setattr(anchored, "_met", lambda *args: met(*args, reads=7, rows=13))
+    assert len(want) >= 50 and sorted(map(tuple, anchored.route_calls(hits, members, 8, 0.3).collect()), key=repr) == want
