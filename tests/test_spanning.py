@@ -112,3 +112,32 @@ def test_coherent_pieces(spark, most_rows):
         got = spanning.coherent_pieces(tree, rows, n_min, tau, base, cap, most_rows)
         assert {(r["lo"], r["hi"]): (round(r["coherence"], 9), r["keys"]) for r in got.collect()} == want
         assert tau == 0 or any(b - a > 1 for a, b in want)
+
+
+def test_forests_are_found_from_thinned_edges(spark, monkeypatch):
+    """Rounds see few of many edges over few nodes, or none; with any bound the forest is Kruskal's, and so are cuts by strength."""
+    import random
+
+    from strandlake.operators import graph
+
+    rng = random.Random(4)
+    pairs = {(a, b): rng.randint(1, 9) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and rng.random() < 0.8}
+    edges = spark.createDataFrame([(*p, w) for p, w in pairs.items()], "a long, b long, weight long")
+    want = sorted(graph.spanning_forest([(*p, w) for p, w in pairs.items()], 60))
+    calls = []
+    real = graph.connected
+    monkeypatch.setattr(graph, "connected", lambda nodes, e: calls.append(e.count()) or real(nodes, e))
+    assert sorted(map(tuple, graph.boruvka(edges).collect())) == want and not calls
+    assert sorted(map(tuple, graph.boruvka(edges, most_rows=40).collect())) == want
+    calls.clear()
+    sizes = spark.createDataFrame([(i, 10) for i in range(61)], "node long, size long")
+    links = edges.select("a", "b", edges.weight.alias("shared"))
+    got = {r.strength: (r.components, r.largest) for r in graph.link_cuts(links, sizes, [0.0, 0.5, 0.9]).collect()}
+    assert max(calls) <= 60
+    for s, found in got.items():
+        f = graph.Forest(61)
+        for (a, b), w in pairs.items():
+            if w / 10 >= s:
+                f.join(a, b)
+        roots = [f.root(i) for i in range(61)]
+        assert found == (len(set(roots)), max(map(roots.count, roots)))
