@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .graph import dense_ids
 
 
 MATE = ("read", "mate")
@@ -96,12 +97,13 @@ def unit_results(weighted: DataFrame, columns: DataFrame, refs: DataFrame, hits:
     return reads.join(same, "unit", "left")
 
 
-def source_em(candidates: DataFrame, prior: bool = True, novel: float | None = None, rounds: int = 500, tol: float = 1e-7) -> DataFrame:
+def source_em(candidates: DataFrame, prior: bool = True, novel: float | None = None, rounds: int = 500, tol: float = 1e-7, most_rows: int = 1_000_000) -> DataFrame:
     """``pair, source, weight`` by EM over the sources that pairs may come from (``component, pair, source, length, mismatches``).
 
     Each source has an abundance and a divergence; a pair's likelihood is binomial in its differing residues. With ``novel``
     every component also has a class of that divergence, for reads of what is not in the reference (source -1). With
-    ``prior`` abundances count in the shares.
+    ``prior`` abundances count in the shares. Components of over ``most_rows`` rows are fitted by the same rounds as
+    DataFrame steps, all others by one task each.
     """
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +133,80 @@ def source_em(candidates: DataFrame, prior: bool = True, novel: float | None = N
                 break
         return pd.DataFrame({"pair": g["pair"].to_numpy(), "source": g["source"].to_numpy(), "weight": w})
 
-    return candidates.groupBy("component").applyInPandas(fit, "pair long, source long, weight double")
+    rows = cut(candidates.select("component", "pair", "source", "length", "mismatches"))
+    large = cut(rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_rows).select("component"))
+    if large.isEmpty():
+        return rows.groupBy("component").applyInPandas(fit, "pair long, source long, weight double")
+    alone = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(fit, "pair long, source long, weight double")
+    return alone.unionByName(_source_em_in_rounds(rows.join(large, "component", "left_semi"), prior, novel, rounds, tol))
+
+
+def _source_em_in_rounds(rows: DataFrame, prior: bool, novel: float | None, rounds: int, tol: float) -> DataFrame:
+    """``source_em`` of components that no task should hold. Pairs are stored with their candidates as one list each; a round is a pass over them with the model, in which tasks sum shares by source, and those sums are added up by a shuffle. Only the model is on the driver: two numbers a source. Components that have settled keep theirs."""
+    pair, source = ["component", "pair"], ["component", "source"]
+    rows = rows.select(*pair, "source", F.col("length").cast("double").alias("n"), F.col("mismatches").cast("double").alias("x"))
+    if novel is not None:
+        rows = cut(rows.unionByName(rows.groupBy(*pair).agg(F.lit(-1).cast("long").alias("source"), F.max("n").alias("n"), F.max("x").alias("x"))))
+    coded = cut(dense_ids(rows.select(*source).distinct(), source, "code"))
+    packed = cut(rows.join(coded, source).groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("code", "n", "x"))).alias("at")).select("pair", "at", "component"))
+    n_pairs = {r["component"]: r["n"] for r in packed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as large components
+    model = coded.orderBy("code").toArrow()
+    names = model["source"].to_numpy()
+    components, part = np.unique(model["component"].to_numpy(), return_inverse=True)
+    pairs = np.array([n_pairs[c] for c in components], float)[part]
+    fixed = names == -1
+    a, d = 1 / np.bincount(part)[part], np.where(fixed, novel or 0.0, 0.05)
+    before = None
+
+    def weights(batch, state):
+        """The list lengths, codes, lengths, mismatches and shares of a batch of pairs."""
+        at = batch.column(1)
+        size = at.value_lengths().to_numpy(zero_copy_only=False)
+        code, n, x = (c.to_numpy(zero_copy_only=False) for c in at.flatten().flatten())
+        a, d = state
+        logs = x * np.log(d)[code] + (n - x) * np.log1p(-d)[code] + (np.log(np.maximum(a, 1e-300))[code] if prior else 0)
+        starts = np.cumsum(size) - size
+        e = np.exp(logs - np.repeat(np.maximum.reduceat(logs, starts), size))
+        return size, code, n, x, e / np.repeat(np.add.reduceat(e, starts), size)
+
+    def summed(now, last):
+        def run(batches):
+            import pyarrow as pa
+
+            sums, moved = np.zeros((3, len(now[0]))), np.full(len(now[0]), -1.0)
+            for batch in batches:
+                if batch.num_rows:
+                    _, code, n, x, w = weights(batch, now)
+                    for total, value in zip(sums, (w, w * x, w * n)):
+                        total += np.bincount(code, value, len(total))
+                    np.maximum.at(moved, code, np.abs(w - weights(batch, last)[-1]) if last else w)
+            seen = np.flatnonzero(moved >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(v[seen]) for v in (*sums, moved))], ["code", "w", "x", "n", "moved"])
+
+        parts = packed.mapInArrow(run, "code long, w double, x double, n double, moved double")
+        return parts.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("w", "x", "n")), F.max("moved").alias("moved")).toArrow()
+
+    for i in range(rounds):
+        got = summed((a, d), before)
+        w, x, n, moved = (got[c].to_numpy()[np.argsort(got["code"].to_numpy())] for c in ("w", "x", "n", "moved"))
+        change = np.zeros(len(components))
+        np.maximum.at(change, part, moved)
+        done = (change <= tol)[part]
+        if done.all() or i + 1 == rounds:
+            break
+        before = a, d
+        settled = np.clip((x + 0.5) / (n + 10), 1e-4, 0.5)
+        a, d = np.where(done, a, w / pairs), np.where(done | fixed, d, settled)
+
+    def shared(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                size, code, _, _, w = weights(batch, (a, d))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(names[code]), pa.array(w)], ["pair", "source", "weight"])
+
+    return packed.mapInArrow(shared, "pair long, source long, weight double")
 
 
 def best_source(fitted: DataFrame) -> DataFrame:
