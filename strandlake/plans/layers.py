@@ -52,9 +52,7 @@ def representative_keys(spark, d):
     """Keys on the representatives of sources and languages, by each way to pick one, and those that half of the members hold."""
     held = _held(spark, d)
     groups = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("group"))
-    made = [layers.keys_on_representatives(held, groups, p).withColumn("pick", F.lit(p)) for p in ("medoid", "central", "longest")]
-    made.append(layers.keys_on_representatives(held, groups, "medoid", 0.5).withColumn("pick", F.lit("composite")))
-    found = reduce(DataFrame.unionByName, made)
+    found = layers.keys_by_picks(held, groups, ["medoid", "central", "longest"], 0.5)
     return found.groupBy("group", "pick", "rep").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least"), F.max("hash").alias("most"))
 
 
