@@ -1,27 +1,22 @@
-"""Fits of components that are too large for one task, in blocks of units.
+"""Fits of components that are too large for one task: k-mers are stored with their units, and a step is a pass over them.
 
-A block is fitted as a component of its own, on its share of the hits: of a k-mer that other blocks hold as well it gets
-the part that its units have of the k-mer's expected hits. Shares are then worked out anew from all blocks, until no
-parameter moves. Hits given to blocks are to a block's fit what hits given to units are to a step of expectation
-maximisation, so a round never lowers the likelihood, all blocks go at once, and what stands still is a fixed point of
-the whole component's fit: there a block's share over its own expected hits is that of the whole.
+A step of expectation maximisation needs, of each unit, sums over its k-mers of what they give it of their hits. Tasks add
+these up over the k-mers that they read, so that what is shuffled in a step is a few numbers a unit and task, and no row of
+a k-mer. The steps themselves, and what extrapolates them, are those of the fits within one task. ``unit_blocks`` parts a
+component's units instead.
 """
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .graph import dense_ids
 
-#: Fixed value: an extrapolated coverage keeps this share of what the plain round gives, as a coverage of 0 can't grow back.
-KEPT = 1e-3
-Fit = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Fixed value: about as many rows (unit, k-mer) are a task of a pass, and at most as many are computed on at once, but for a k-mer of more.
+TASK_ROWS = 1_000_000
 
 
 def running_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -64,73 +59,62 @@ def unit_blocks(rows: DataFrame, most_rows: int, rounds: int = 16) -> DataFrame:
     return cut(cell.select("component", "unit", F.xxhash64("component", "_cell").alias("block")))
 
 
-def _fitted(fit: Fit, hits_of, steps: int):
-    """One block's round as a function of two tables: its rows, and its units' state beside its shares of k-mers."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        h = hits_of(left)
-        units = right[right["kind"] == 0].set_index("id").loc[h.units]
-        shares = right[right["kind"] == 1]
-        kmers = np.unique(left["hash"].to_numpy())
-        h.ones[np.searchsorted(kmers, shares["id"].to_numpy())] = shares["lam"].to_numpy()
-        h.hits = h.hits * h.ones
-        lam, p, given = fit(h, steps, (units["lam"].to_numpy(), units["p"].to_numpy()))
-        return pd.DataFrame({"component": left["component"].iloc[0], "block": left["block"].iloc[0], "unit": h.units, "lam": lam, "p": p, "given": given, "lam1": units["lam"].to_numpy(), "p1": units["p"].to_numpy(), "lam2": units["lam1"].to_numpy(), "p2": units["p1"].to_numpy()})
-
-    return run
+def _list_slices(batch, column: int, most: int):
+    """``batch`` in runs of rows whose lists have at most ``most`` items together, a longer list alone."""
+    ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")), lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-_STATE = "component long, block long, unit long, lam double, p double, given double, lam1 double, p1 double, lam2 double, p2 double"
+class StoredHits:
+    """What fits ask of ``estimators.Hits``, of components that no task should hold (``rows``: ``component, unit, hash, hits`` and, with ``levels``, ``pin_q``; ``of_unit``: an aggregate of each unit's rows, as ``m_g`` or ``pin_hist``).
 
-
-def fit_in_blocks(rows: DataFrame, hits_of, fit: Fit, start: DataFrame, most_rows: int, weight=None, p_max: float = 1.0, steps: int = 12, rounds: int = 300, tol: float = 1e-8) -> DataFrame:
-    """``unit, lam, p, given`` of the components in ``rows`` (``component, unit, hash, hits`` and what ``hits_of`` needs).
-
-    ``fit(hits, steps, start)`` takes a block's hits and does some steps; ``start`` (``unit, lam, p``) is where all
-    begin; ``weight`` is a column by which a row's expected hits lam * p are multiplied. Two rounds are followed by an
-    extrapolation along them, per component, which is taken back where the round after it moves further than before.
-    Ends when a plain round moves no coverage by over ``tol`` of its component's largest, and no ``p`` by over ``tol``;
-    warns after ``rounds``. Each round deals the rows out by block once; its state is stored.
+    A k-mer is stored as one row with its hits and the list of its units, dealt out by the k-mer. The model, the sums over
+    it and ``of_unit`` are a few numbers a unit, and they alone reach the driver.
     """
-    blocks = unit_blocks(rows, most_rows)
-    rows = cut(rows.join(blocks.select("unit", "block"), "unit").withColumn("weight", weight if weight is not None else F.lit(1.0)))
-    spread = rows.groupBy("hash").agg(F.min("block").alias("_a"), F.max("block").alias("_b")).where("_a <> _b").select("hash")
-    shared = cut(rows.select("hash", "block", "unit", "weight").join(spread, "hash"))
-    state = start.join(blocks, "unit").select("component", "block", "unit", "lam", "p", F.lit(0.0).alias("given"), *(F.col(c).alias(f"{c}{k}") for k in (1, 2) for c in ("lam", "p")))
-    state = cut(state)
-
-    def round_of(state: DataFrame) -> DataFrame:
-        own = cut(shared.join(state.select("unit", "lam", "p"), "unit").groupBy("hash", "block").agg(F.sum(F.col("lam") * F.col("p") * F.col("weight")).alias("w")))
-        whole = own.groupBy("hash").agg(F.sum("w").alias("_w"))
-        share = F.when(F.col("_w") > 0, F.col("w") / F.col("_w")).otherwise(0.0)
-        shares = own.join(whole, "hash").select("block", F.lit(1).alias("kind"), F.col("hash").alias("id"), share.alias("lam"), *(F.lit(0.0).alias(c) for c in ("p", "lam1", "p1")))
-        right = state.select("block", F.lit(0).alias("kind"), F.col("unit").alias("id"), "lam", "p", "lam1", "p1").unionByName(shares)
-        return cut(rows.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_fitted(fit, hits_of, steps), _STATE))
-
-    move = F.pow(F.col("lam") - F.col("lam1"), 2) + F.pow(F.col("p") - F.col("p1"), 2)
-    before, safe = None, None
-    for taken in range(0, rounds, 2):
-        one = round_of(state)
-        if safe is not None:
-            # Where the round after a leap moves further than the plain one before, go on from the plain one.
-            worse = one.groupBy("component").agg(F.sum(move).alias("_r")).join(before, "component").select("component", (F.col("_r") > F.col("rr")).alias("worse"))
-            back = safe.select("unit", *(F.col(c).alias(f"_{c}") for c in ("lam", "p", "given", "lam1", "p1", "lam2", "p2")))
-            both = one.join(worse, "component").join(back, "unit")
-            one = cut(both.select("component", "block", "unit", *(F.when(F.col("worse"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("lam", "p", "given", "lam1", "p1", "lam2", "p2"))))
-        two = round_of(one)
-        v = lambda c: F.col(c) - 2 * F.col(f"{c}1") + F.col(f"{c}2")
-        r = lambda c: F.col(f"{c}1") - F.col(f"{c}2")
-        of_component = cut(two.groupBy("component").agg(
-            F.sum(F.pow(r("lam"), 2) + F.pow(r("p"), 2)).alias("rr"),
-            F.sum(F.pow(v("lam"), 2) + F.pow(v("p"), 2)).alias("vv"),
-            F.greatest(F.max(F.abs(F.col("lam") - F.col("lam1"))) / F.greatest(F.max("lam"), F.lit(1e-300)), F.max(F.abs(F.col("p") - F.col("p1")))).alias("change"),
-        ))
-        change = of_component.agg(F.max("change")).first()[0]
-        if change is None or change <= tol:
-            return two.select("unit", "lam", "p", "given")
-        before, safe = of_component.select("component", "rr"), two
-        leap = two.join(of_component.select("component", F.when(F.col("vv") > 0, F.greatest(F.sqrt(F.col("rr") / F.col("vv")), F.lit(1.0))).otherwise(1.0).alias("_a")), "component")
-        far = lambda c: F.col(f"{c}2") + 2 * F.col("_a") * r(c) + F.col("_a") * F.col("_a") * v(c)
-        state = cut(leap.select("component", "block", "unit", F.greatest(far("lam"), F.col("lam") * KEPT).alias("lam"), F.least(F.greatest(far("p"), F.lit(0.0)), F.lit(float(p_max))).alias("p"), "given", "lam1", "p1", "lam2", "p2"))
-    warnings.warn(f"parameters still moved by {change} in {rounds} rounds", RuntimeWarning, stacklevel=2)
-    return two.select("unit", "lam", "p", "given")
+
+    def __init__(self, rows: DataFrame, of_unit, levels: int = 0):
+        key, self.levels = ["component", "unit"], levels
+        own = rows.groupBy(*key).agg(of_unit.alias("own"), F.sum("hits").cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
+        coded = cut(dense_ids(own, key, "code"))
+        model = coded.orderBy("code").toArrow()
+        self.units, self.of_unit = model["unit"].to_numpy(), np.array(model["own"].to_pylist(), float).reshape(len(model), -1)
+        self.m, self._total, self.n = self.of_unit[:, 0], model["total"].to_numpy(), len(model)
+        self.part = np.unique(model["component"].to_numpy(), return_inverse=True)[1]
+        at = F.struct(F.col("code").cast("int").alias("code"), (F.col("pin_q") if levels else F.lit(0)).cast("int").alias("level"))
+        dealt = rows.join(coded.select(*key, "code"), key).groupBy("component", "hash").agg(F.max("hits").cast("double").alias("hits"), F.array_sort(F.collect_list(at)).alias("at"))
+        tasks = -(-int(model["n"].to_numpy().sum()) // TASK_ROWS) if self.n else 1
+        self._kmers = cut(dealt.select("hits", "at").coalesce(tasks))
+
+    def total(self) -> np.ndarray:
+        """Each unit's hits, those of others included."""
+        return self._total
+
+    def shared(self, w: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``Hits.shared`` by one pass."""
+        n, width, names = self.n, max(self.levels, 1), [f"s{i}" for i in range(max(self.levels, 1) + 1)]
+
+        def run(batches):
+            import pyarrow as pa
+
+            sums = np.zeros((n, width + 1))
+            for batch in (x for b in batches for x in _list_slices(b, 1, TASK_ROWS)):
+                size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                code, level = (c.to_numpy(zero_copy_only=False) for c in batch.column(1).flatten().flatten())
+                own = w[code] if share is None else w[code] * share[level]
+                mu = np.repeat(np.add.reduceat(own, np.cumsum(size) - size), size)
+                part = np.divide(own, mu, out=np.zeros(len(own)), where=mu > 0)
+                hits = np.repeat(batch.column(0).to_numpy(), size)
+                sums[:, 0] += np.bincount(code, part * hits, n)
+                sums[:, 1:] += np.bincount(code * width + level, part, n * width).reshape(n, width)
+            seen = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(sums[seen, i]) for i in range(width + 1))], ["code", *names])
+
+        parts = self._kmers.mapInArrow(run, "code long, " + ", ".join(f"{c} double" for c in names))
+        got = parts.groupBy("code").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+        out = np.zeros((n, width + 1))
+        out[got["code"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1)
+        return out[:, 0], out[:, 1:] if self.levels else out[:, 1]

@@ -77,3 +77,18 @@ def test_small_components_stay_whole(spark, kmers):
     two = kmers.unionByName(spark.createDataFrame(chained(4, 3), SCHEMA).selectExpr("1L as component", "unit + 100 as unit", "-hash as hash", "hits", "m_g", "pin_q", "pin_hist"))
     held_against(estimators.em(two), estimators.em(two, most_rows=60))
     assert estimators.em(two.where(F.lit(False)), most_rows=5).count() == 0
+
+
+def test_steps_shuffle_sums_and_not_kmers(spark, monkeypatch):
+    """Large components are fitted by passes, whose rows are k-mers with their units and are dealt out once; each leaps by itself."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(chained(), SCHEMA)
+    two = rows.unionByName(spark.createDataFrame(chained(5, 20), SCHEMA).selectExpr("1L as component", "unit + 100 as unit", "-hash - 1 as hash", "hits", "m_g", "pin_q", "pin_hist"))
+    made, passes = [], []
+    real = blockwise.StoredHits.shared
+    monkeypatch.setattr(blockwise, "cut", lambda df, real=blockwise.cut: made.append(df.columns) or real(df))
+    monkeypatch.setattr(blockwise.StoredHits, "shared", lambda self, *a: passes.append(self.n) or real(self, *a))
+    held_against(estimators.em(two), estimators.em(two, most_rows=50))
+    assert passes and set(passes) == {34} and made.count(["hits", "at"]) == 1 and len(made) == 2
+    assert two.where(F.col("component") == 0).count() > 50
