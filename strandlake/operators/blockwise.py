@@ -59,7 +59,7 @@ def unit_blocks(rows: DataFrame, most_rows: int, rounds: int = 16) -> DataFrame:
     return cut(cell.select("component", "unit", F.xxhash64("component", "_cell").alias("block")))
 
 
-def _list_slices(batch, column: int, most: int):
+def list_slices(batch, column: int, most: int = TASK_ROWS):
     """``batch`` in runs of rows whose lists have at most ``most`` items together, a longer list alone."""
     ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
     lo = 0
@@ -101,7 +101,7 @@ class StoredHits:
             import pyarrow as pa
 
             sums = np.zeros((n, width + 1))
-            for batch in (x for b in batches for x in _list_slices(b, 1, TASK_ROWS)):
+            for batch in (x for b in batches for x in list_slices(b, 1)):
                 size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 code, level = (c.to_numpy(zero_copy_only=False) for c in batch.column(1).flatten().flatten())
                 own = w[code] if share is None else w[code] * share[level]

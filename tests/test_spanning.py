@@ -114,6 +114,23 @@ def test_coherent_pieces(spark, most_rows):
         assert tau == 0 or any(b - a > 1 for a, b in want)
 
 
+def test_large_nodes_are_judged_without_rounds(spark, monkeypatch):
+    """A path of nodes, each over the bound but the last: as many tables are stored as for two, and the pieces are the same as by tasks."""
+    stored = []
+    real = spanning.cut
+    monkeypatch.setattr(spanning, "cut", lambda df: stored.append(1) or real(df))
+    found = []
+    for n in (4, 14):
+        nodes = [(0, n, None, None)] + [x for i in range(n - 1) for x in ((i, i + 1, i, n), (i + 1, n, i, n))]
+        rows = [(p, h, h / 100) for p in range(n) for h in (p + 1, 50 + p % 2, 60)]
+        tree, held = spark.createDataFrame(nodes, NODES), spark.createDataFrame(rows, "pos long, hash long, u double")
+        want = sorted(map(tuple, spanning.coherent_pieces(tree, held, 50, 0.5).collect()))
+        stored.clear()
+        assert sorted(map(tuple, spanning.coherent_pieces(tree, held, 50, 0.5, most_rows=4).collect())) == want and len(want) > 1
+        found.append(len(stored))
+    assert found[0] == found[1]
+
+
 def test_forests_are_found_from_thinned_edges(spark, monkeypatch):
     """Rounds see few of many edges over few nodes, or none; with any bound the forest is Kruskal's, and so are cuts by strength."""
     import random
