@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.alphabets import alphabet
-from ..functions.kmers import KmerParams, kmer_hashes, target_kmers
+from ..functions.kmers import KmerParams, kmer_hashes, target_kmers, text_slices
 from ..lineage import cut
 from ..sources.alignments import CIGAR
 from .evaluate import hash_order
@@ -238,19 +239,62 @@ def presence_scores(detected: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def pair_survival(pairs: DataFrame, members: DataFrame, p: KmerParams, lags: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
-    """``id, cluster, identity, shared, n_kmers, survival`` and, over a sequence's windows in order, ``window_survival`` and ``both_j``: shares of windows, and of window pairs j apart, that are in a cluster's k-mers (``pairs``: ``id, cluster, identity``; ``members``: ``id, cluster, sequence``). A member is left out of its own cluster."""
-    at = cut(target_kmers(members.select("id", "sequence").dropDuplicates(["id"]), p, ["id"], positions=True))
-    own = at.select("id", "hash").distinct()
-    held = own.join(members.select("id", "cluster").distinct(), "id").groupBy("cluster", "hash").agg(F.count(F.lit(1)).alias("n"))
-    member = members.select("id", "cluster").distinct().withColumn("_in", F.lit(1))
-    rows = pairs.join(member, ["id", "cluster"], "left").join(at, "id").join(held, ["cluster", "hash"], "left")
-    rows = rows.withColumn("found", (F.coalesce("n", F.lit(0)) - F.coalesce("_in", F.lit(0)) > 0).cast("int"))
-    order = Window.partitionBy("id", "cluster").orderBy("pos")
-    for j in lags:
-        rows = rows.withColumn(f"_b{j}", F.lead("found", j).over(order) * F.col("found"))
-    first = F.count_distinct(F.when(F.col("found") == 1, F.col("hash")))
-    out = rows.groupBy("id", "cluster", "identity").agg(first.alias("shared"), F.count_distinct("hash").alias("n_kmers"), F.avg("found").alias("window_survival"), *(F.avg(f"_b{j}").alias(f"both_{j}") for j in lags))
-    return out.withColumn("survival", F.col("shared") / F.col("n_kmers"))
+    """``id, cluster, identity, shared, n_kmers, survival`` and, over a sequence's windows in order, ``window_survival`` and ``both_j``: shares of windows, and of window pairs j apart, that are in a cluster's k-mers (``pairs``: ``id, cluster, identity``; ``members``: ``id, cluster, sequence``). A member is left out of its own cluster.
+
+    Windows are walked where a sequence lies, with the list of its k-mers that tell: of a pair of a member and its own
+    cluster those that no other member has, else those that the cluster has. So what is shuffled are sequences, counts by
+    cluster and k-mer, and these lists, but no row of a window.
+    """
+    texts = cut(members.select("id", "sequence").where("id is not null").dropDuplicates(["id"]))
+    member = cut(members.select("id", "cluster").where("id is not null and cluster is not null").distinct())
+    asked = cut(pairs.select("id", "cluster", "identity").distinct().join(member.withColumn("own", F.lit(True)), ["id", "cluster"], "left").withColumn("own", F.coalesce("own", F.lit(False))))
+    held = _distinct_kmers(member.join(texts, "id"), p).groupBy("cluster", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    alone = held.where("n = 1").select("id", "cluster", "hash")
+    other = asked.where("not own").select("id", "cluster").distinct()
+    met = _distinct_kmers(other.join(texts, "id"), p).join(held.select("cluster", "hash"), ["cluster", "hash"]).select("id", "cluster", "hash")
+    told = alone.unionByName(met).groupBy("id", "cluster").agg(F.collect_list("hash").alias("told"))
+    rows = asked.join(told, ["id", "cluster"], "left").join(texts, "id").select("id", "cluster", "identity", "own", "told", "sequence")
+    values = ["shared", "n_kmers", "window_survival", *(f"both_{j}" for j in lags)]
+    types = [T.LongType(), T.LongType(), *[T.DoubleType()] * (1 + len(lags))]
+    schema = T.StructType([*(rows.schema[c] for c in ("id", "cluster", "identity")), *(T.StructField(c, t) for c, t in zip(values, types))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (x for b in batches for x in text_slices(b)):
+            which, out = [], []
+            for i, (own, told, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "told", "sequence")))):
+                _, _, h = kmer_hashes([(s or "").encode()], p)
+                if not len(h):
+                    continue
+                h = h.view(np.int64)
+                found = np.isin(h, np.array(told or [], np.int64), invert=own)
+                both = [float((found[j:] & found[:-j]).mean()) if len(h) > j else None for j in lags]
+                which.append(i)
+                out.append((len(np.unique(h[found])), len(np.unique(h)), float(found.mean()), *both))
+            columns = zip(*out) if out else [[]] * len(values)
+            arrays = [pa.array(list(x), pa.int64() if n < 2 else pa.float64()) for n, x in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(which, pa.int64())) for c in ("id", "cluster", "identity")), *arrays], schema.names)
+
+    return rows.mapInArrow(run, schema).withColumn("survival", F.col("shared") / F.col("n_kmers"))
+
+
+def _distinct_kmers(rows: DataFrame, p: KmerParams) -> DataFrame:
+    """``id, cluster, hash``: the distinct k-mers of each row's ``sequence``, made where it lies."""
+    schema = T.StructType([rows.schema["id"], rows.schema["cluster"], T.StructField("hash", T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (x for b in batches for x in text_slices(b)):
+            which, _, h = kmer_hashes([(s or "").encode() for s in batch.column("sequence").to_pylist()], p)
+            order = np.lexsort((h, which))
+            which, h = which[order], h[order]
+            new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+            at = pa.array(which[new], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("cluster").take(at), pa.array(h[new].view(np.int64))], ["id", "cluster", "hash"])
+
+    return rows.select("id", "cluster", "sequence").mapInArrow(run, schema)
 
 
 def fit_survival(points: list[tuple[float, float, float]], k: int, shapes=(0.3, 0.5, 1.0, 2.0, 4.0), regions=(1.0, 3.0, 10.0, 30.0), steps: int = 12) -> SurvivalModel:

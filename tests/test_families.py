@@ -92,6 +92,28 @@ def test_pair_survival(spark):
     assert (r.shared, r.n_kmers, r.window_survival) == (2, 4, 0.5) and r.both_1 == pytest.approx(1 / 3)
 
 
+def test_pair_survival_stores_no_windows(spark, monkeypatch):
+    """Own and other clusters, a member of two, texts without k-mers and unknown ids, against a plain loop; what is stored are texts and pairs."""
+    rng = random.Random(8)
+    members = [(i, c, "".join(rng.choice("ACDEX") for _ in range(rng.randrange(12)))) for i in range(12) for c in [rng.choice("abc")]]
+    members += [(3, "z", members[3][2]), (20, "a", None), (21, "b", "AC")]
+    pairs = [(i, c, 0.5) for i in (*range(12), 20, 21, 99) for c in "abcyz"]
+    texts = {i: s or "" for i, _, s in members}
+    words = lambda s: [s[k : k + 3] for k in range(len(s) - 2) if "X" not in s[k : k + 3]]
+    want = {}
+    for i, c, _ in pairs:
+        if w := words(texts.get(i, "")):
+            there = {x for j, d, s in members if d == c and j != i for x in words(s or "")}
+            f = [x in there for x in w]
+            both = [a and b for a, b in zip(f, f[2:])]
+            want[i, c] = (len(set(w) & there), len(set(w)), round(sum(f) / len(f), 9), round(sum(both) / len(both), 9) if both else None)
+    stored = []
+    monkeypatch.setattr(fam, "cut", lambda df, real=fam.cut: stored.append(df.columns) or real(df))
+    got = fam.pair_survival(spark.createDataFrame(pairs, "id long, cluster string, identity double"), spark.createDataFrame(members, "id long, cluster string, sequence string"), KmerParams(3), (2,)).collect()
+    assert {(r.id, r.cluster): (r.shared, r.n_kmers, round(r.window_survival, 9), r.both_2 if r.both_2 is None else round(r.both_2, 9)) for r in got} == want and len(got) == len(want)
+    assert any(0 < v[2] < 1 for v in want.values()) and not any("pos" in c or "hash" in c for c in stored)
+
+
 def test_survival_fit():
     true = SurvivalModel(5, shape=0.8, region=4.0)
     points = [(a, float(true.survival(a)), 1.0) for a in (0.5, 0.6, 0.7, 0.8, 0.9)]
