@@ -180,3 +180,17 @@ def test_pairs_and_candidates_are_never_rows(spark, monkeypatch):
     met = anchored._met
     monkeypatch.setattr(anchored, "_met", lambda *args: met(*args, reads=7, rows=13))
     assert len(want) >= 50 and sorted(map(tuple, anchored.route_calls(hits, members, 8, 0.3).collect()), key=repr) == want
+
+
+def test_hits_of_seeds_are_never_rows(spark, monkeypatch):
+    """Groups of any size give the same families, and nothing that is stored has a row for each hit."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("AC"), 12))
+    members = spark.createDataFrame([(f, u, 10 * u, word()) for f in ("a", "b", "c") for u in range(40)], "family string, unit long, row long, residues string")
+    reads = spark.createDataFrame([(i, word()) for i in range(50)], "read long, residues string")
+    stored = []
+    real = anchored.cut
+    monkeypatch.setattr(anchored, "cut", lambda df: stored.append(real(df)) or stored[-1])
+    want = sorted(map(tuple, anchored.seeded_families(reads, members, 3).collect()))
+    assert len(want) >= 50 and [x.count() for x in stored] == [50 * 10, 120 * 10]
+    assert sorted(map(tuple, anchored.seeded_families(reads, members, 3, 1, 60, 90).collect())) == want
