@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.alphabets import alphabet
-from ..functions.kmers import KmerParams, kmer_hashes, target_kmers, text_slices
+from ..functions.kmers import KmerParams, kmer_hashes, text_slices
 from ..lineage import cut
 from ..sources.alignments import CIGAR
 from .evaluate import hash_order
