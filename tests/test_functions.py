@@ -183,3 +183,31 @@ def test_kmers_of_a_large_batch_come_in_bounded_pieces(spark, monkeypatch):
     run = kmers.target_kmers(Table(), kmers.KmerParams(3), ["id"])
     sizes = [x.num_rows for x in run(iter([batch]))]
     assert sum(sizes) == 40 * 99_998 and max(sizes) <= kmers.TEXT
+
+
+def test_kmers_of_a_long_text_come_in_bounded_pieces(spark):
+    """One text over a megabyte is hashed a piece at a time: the k-mers that cross from one to the next are there once, at their places."""
+    import pyarrow as pa
+
+    from strandlake.functions import kmers
+
+    class Table:
+        schema = spark.createDataFrame([], "unit long, sequence string").schema
+        columns = schema.names
+
+        def select(self, *_):
+            return self
+
+        __getitem__ = select
+
+        def mapInArrow(self, run, _):
+            return run
+
+    p = kmers.KmerParams(3)
+    texts = ["AC", "".join(np.random.default_rng(1).choice(list("ACDEFGHIKLMNPQRSTVWYXé"), 2 * kmers.TEXT + 77)), "ACDE", None]
+    batch = pa.RecordBatch.from_pydict({"unit": [0, 1, 2, 3], "sequence": texts})
+    which, pos, h = kmers.kmer_hashes([(t or "").encode() for t in texts], p)
+    got = list(kmers.target_kmers(Table(), p, ["unit"], positions=True)(iter([batch])))
+    assert max(x.num_rows for x in got) <= kmers.TEXT
+    found = pa.Table.from_batches(got)
+    assert (found["unit"].to_numpy() == which).all() and (found["pos"].to_numpy() == pos).all() and (found["hash"].to_numpy().view(np.uint64) == h).all()
