@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import KmerParams, kmer_hashes, mix, text_slices, unmix, unsigned
+from ..functions.kmers import KmerParams, hashes_in_pieces, mix, text_slices, unmix, unsigned
 from ..lineage import cut
 from .layers import least_keys, unit_budgets
 
@@ -52,23 +52,27 @@ def unit_representatives(members: DataFrame) -> DataFrame:
 
 
 def kmer_places(reps: DataFrame, p: KmerParams) -> DataFrame:
-    """``unit, n, hash, places``: each distinct k-mer of a sequence with where it begins, and how many places the sequence has (``reps``: ``unit, sequence``)."""
+    """``unit, n, hash, places, first``: each distinct k-mer of a sequence with where it begins, and how many places the sequence has (``reps``: ``unit, sequence``). A sequence over ``TEXT`` bytes comes in pieces; ``first`` marks one row for each of its k-mers."""
     from pyspark.sql.types import StructType
 
-    schema = StructType([reps.schema["unit"]] + StructType.fromDDL("n int, hash long, places array<int>").fields)
+    schema = StructType([reps.schema["unit"]] + StructType.fromDDL("n int, hash long, places array<int>, first boolean").fields)
 
     def find(batches):
         import pyarrow as pa
 
         for batch in (x for b in batches for x in text_slices(b)):
             seqs = [s or b"" for s in batch.column(1).cast(pa.binary()).to_pylist()]
-            which, pos, h = kmer_hashes(seqs, p)
-            order = np.lexsort((pos, h, which))
-            which, pos, h = which[order], pos[order], h[order]
-            new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(h)].astype(np.int32)), pa.array(pos.astype(np.int32)))
             sizes = np.array([len(s) - p.k + 1 for s in seqs], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[new])), pa.array(sizes[which[new]]), pa.array(h[new].view(np.int64)), lists], ["unit", "n", "hash", "places"])
+            before = np.zeros(0, np.uint64)
+            for which, pos, h in hashes_in_pieces(seqs, p):
+                order = np.lexsort((pos, h, which))
+                which, pos, h = which[order], pos[order], h[order]
+                new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(h)].astype(np.int32)), pa.array(pos.astype(np.int32)))
+                first = ~np.isin(h[new], before)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[new])), pa.array(sizes[which[new]]), pa.array(h[new].view(np.int64)), lists, pa.array(first)], schema.names)
+                if len(seqs) == 1:  # only then are there more pieces
+                    before = np.union1d(before, h)
 
     return reps.select("unit", "sequence").mapInArrow(find, schema)
 
@@ -82,7 +86,7 @@ def rarest_in_windows(reps: DataFrame, p: KmerParams, window: int) -> DataFrame:
     Holders are counted with partial sums, so that a k-mer of all representatives is no hot group.
     """
     found = cut(kmer_places(reps, p))
-    holders = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c"))
+    holders = found.groupBy("hash").agg(F.count_if("first").alias("c"))
     dealt = found.join(holders, "hash").select("unit", "n", "c", "hash", "places").repartition("unit")
     rows = dealt.select("unit", "n", F.struct("c", unsigned("hash").alias("order"), "hash").alias("key"), F.explode("places").alias("pos"))
     along, all_of = Window.partitionBy("unit").orderBy("pos"), Window.partitionBy("unit")

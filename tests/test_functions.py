@@ -211,3 +211,38 @@ def test_kmers_of_a_long_text_come_in_bounded_pieces(spark):
     assert max(x.num_rows for x in got) <= kmers.TEXT
     found = pa.Table.from_batches(got)
     assert (found["unit"].to_numpy() == which).all() and (found["pos"].to_numpy() == pos).all() and (found["hash"].to_numpy().view(np.uint64) == h).all()
+
+
+def test_places_of_a_long_text_come_in_bounded_pieces(spark):
+    """The same for the places of each k-mer; each counts once for its text, in however many pieces it is."""
+    import pyarrow as pa
+
+    from strandlake.functions import kmers
+    from strandlake.operators import compact
+
+    class Table:
+        schema = spark.createDataFrame([], "unit long, sequence string").schema
+        columns = schema.names
+
+        def select(self, *_):
+            return self
+
+        __getitem__ = select
+
+        def mapInArrow(self, run, _):
+            return run
+
+    p = kmers.KmerParams(3)
+    texts = ["AC", "".join(np.random.default_rng(1).choice(list("ACDEFGHIKLMNPQRSTVWYXé"), 2 * kmers.TEXT + 77)), "ACDE", None]
+    batch = pa.RecordBatch.from_pydict({"unit": [0, 1, 2, 3], "sequence": texts})
+    which, pos, h = kmers.kmer_hashes([(t or "").encode() for t in texts], p)
+    got = list(compact.kmer_places(Table(), p)(iter([batch])))
+    assert max(len(x["places"].flatten()) for x in got) <= kmers.TEXT
+    found = pa.Table.from_batches(got)
+    assert found["unit"].to_pylist().count(1) > len(np.unique(h[which == 1]))  # a row a piece
+    once = found.filter(found["first"])
+    assert sorted(zip(once["unit"].to_pylist(), once["hash"].to_numpy().view(np.uint64).tolist())) == sorted({*zip(which.tolist(), h.tolist())})
+    lengths = [len(x) for x in found["places"].to_pylist()]
+    rows = np.repeat(found["unit"].to_numpy(), lengths), np.repeat(found["hash"].to_numpy(), lengths).view(np.uint64), found["places"].combine_chunks().flatten().to_numpy()
+    order = np.lexsort((rows[2], rows[0]))
+    assert all((x[order] == y).all() for x, y in zip(rows, (which, h, pos)))
