@@ -94,3 +94,9 @@ def test_link_cuts_stores_no_row_for_each_pair(spark, supplies, stored):
     path, sets = supplies
     got = {r.strength: (r.components, r.largest) for r in QUERIES["link_cuts"](spark, path).collect()}
     assert got == {s: (1, 60) for s in (0.0, 0.05, 0.1, 0.3)} and max(stored) < 60 * 59 / 2 / 10
+
+
+def test_minimum_spanning_forest_stores_no_row_for_each_pair(spark, supplies, stored):
+    path, sets = supplies
+    got = sorted(map(tuple, QUERIES["minimum_spanning_forest"](spark, path).collect()))
+    assert got == kruskal(sets, lambda n, x, y: x + y - 2 * n) and max(stored) < 60 * 59 / 2 / 10
