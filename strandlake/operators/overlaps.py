@@ -18,7 +18,7 @@ from .blockwise import list_slices, running_sum
 from .graph import _least_forest, boruvka, dense_ids
 
 #: Pairs that a task counts and thins at a time.
-STEP = 2_000_000
+STEP = 1_000_000
 #: Sets whose sizes are in one row.
 SIZES = 4096
 #: In lists of gaps 0 ends a list, and this stands for one less with the gap not yet at its end.
@@ -112,7 +112,7 @@ def _thinner(starts: np.ndarray, alone: np.ndarray, n: int, weigh, kind: str):
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, flat, lengths, at, total = np.zeros(n, np.int32), [], [], None, None
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             at = batch.column("block")[0].as_py()
             for i in np.flatnonzero(batch.column("chunk").is_valid().to_numpy(zero_copy_only=False)):
                 own = batch.column("sizes")[i].values.to_numpy()
@@ -131,22 +131,30 @@ def _thinner(starts: np.ndarray, alone: np.ndarray, n: int, weigh, kind: str):
             b = np.flatnonzero(total)
             pairs = iter([(np.full(len(b), starts[at]), b, total[b])])
         else:
-            pairs = _counted(np.concatenate(flat), np.concatenate(lengths), starts[at + 1] if at + 1 < len(starts) else n, n)
-        a, b, w, cycles = *np.zeros((2, 0), np.int64), np.zeros(0, dtype), None
+            flat, lengths = np.concatenate(flat), np.concatenate(lengths)  # the parts go
+            pairs = _counted(flat, lengths, starts[at + 1] if at + 1 < len(starts) else n, n)
+        a, b, w, cycles, new = *np.zeros((2, 0), np.int64), np.zeros(0, dtype), None, []
         for x, y, shared in pairs:
             z = weigh(shared, size[x].astype(np.int64), size[y].astype(np.int64)).astype(dtype)
             if cycles is not None:
                 own = ~cycles(x, y, z)
                 x, y, z = x[own], y[own], z[own]
-            a, b, w = np.append(a, x), np.append(b, y), np.append(w, z)
-            own = _least_forest(a, b, w)
-            a, b, w = a[own], b[own], w[own]
-            cycles = _cycles(a, b, w, n)
+            new.append((x, y, z))
+            if sum(len(x) for x, *_ in new) >= max(STEP // 10, len(a)):
+                a, b, w = _least([(a, b, w), *new])
+                cycles, new = _cycles(a, b, w, n), []
+        a, b, w = _least([(a, b, w), *new])
         yield pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(w)], ["a", "b", "weight"])
 
     return thin
 
 
+def _least(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b, w = map(np.concatenate, zip(*parts))
+    own = _least_forest(a, b, w)
+    return a[own], b[own], w[own]
+
+
 def _counted(flat: np.ndarray, lengths: np.ndarray, stop: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of sets and how many lists have both, of all pairs whose first is below ``stop``: up to ``STEP`` (or one set's) before they are added up at a time."""
     ends = np.cumsum(lengths)
