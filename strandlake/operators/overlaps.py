@@ -31,22 +31,24 @@ def overlap_forest(held: DataFrame, weigh: Callable[[np.ndarray, np.ndarray, np.
     Sets are numbered in order and cut into blocks that lead up to ``most_pairs`` pairs with later sets, one for each hash
     that they share; a set that leads more is a block of its own. A block gets the holders of its hashes from its first
     on, as lists of gaps, and every set's size, so it sees all that its pairs share. Only where blocks begin reaches the
-    driver.
+    driver. ``held`` is read twice and may have rows more than once.
     """
-    one = cut(held.select("set_id", "hash").where("set_id is not null").distinct())
-    sets = dense_ids(one.groupBy("set_id").agg(F.count(F.lit(1)).alias("size")), ["set_id"], "node")
-    sets = cut(sets.select("set_id", F.col("node").cast("int").alias("node"), F.col("size").cast("int").alias("size")))
-    holders = one.where("hash is not null").join(sets.select("set_id", "node"), "set_id").groupBy("hash").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    lists = cut(holders.where(F.size("nodes") > 1).select("nodes"))
-    led = lists.select(F.size("nodes").alias("n"), F.posexplode("nodes").alias("i", "node")).groupBy("node").agg(F.sum(F.col("n") - 1 - F.col("i")).alias("pairs")).where("pairs > 0")
+    sets = dense_ids(held.where("set_id is not null").select("set_id").distinct(), ["set_id"], "node")
+    sets = cut(sets.select("set_id", F.col("node").cast("int").alias("node")))
+    holders = held.join(sets, "set_id").groupBy("hash").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    every = cut(holders.select(F.col("hash").isNull().alias("none"), "nodes"))
+    lists = every.where("not none and size(nodes) > 1").select("nodes")
+    # A null is no hash that sets share, but counts in their sizes.
+    after = F.when(F.col("none"), 0).otherwise(F.size("nodes") - 1 - F.col("i"))
+    own = cut(every.select("none", "nodes", F.posexplode("nodes").alias("i", "node")).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("size"), F.sum(after).alias("pairs")))
     block = F.expr(f"before div {most_pairs}") * 2 + (F.col("pairs") > most_pairs).cast("int")
-    found = running_sum(led, ["node"], "pairs", "before").groupBy(block.alias("block")).agg(F.min("node").alias("first"), (F.max("pairs") > most_pairs).alias("alone")).orderBy("first").collect()
+    found = running_sum(own.where("pairs > 0").drop("size"), ["node"], "pairs", "before").groupBy(block.alias("block")).agg(F.min("node").alias("first"), (F.max("pairs") > most_pairs).alias("alone")).orderBy("first").collect()
     starts, alone = np.array([r["first"] for r in found], np.int64), np.array([r["alone"] for r in found], bool)
-    n = sets.count()
+    n = own.count()
     dealt = lists.mapInArrow(_dealer(starts), "block int, chunk int, items array<smallint>, sizes array<int>")
-    chunks = sets.groupBy(F.expr(f"node div {SIZES}").cast("int").alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "size"))), lambda x: x["size"]).alias("sizes"))
-    every = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))).alias("block"), "chunk", F.lit(None).cast("array<smallint>").alias("items"), "sizes")
-    edges = (dealt.unionByName(every) if found else dealt).groupBy("block").applyInArrow(_thinner(starts, alone, n, weigh, kind), f"a int, b int, weight {kind}")
+    chunks = own.groupBy(F.expr(f"node div {SIZES}").cast("int").alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "size"))), lambda x: x["size"]).alias("sizes"))
+    sizes = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))).alias("block"), "chunk", F.lit(None).cast("array<smallint>").alias("items"), "sizes")
+    edges = (dealt.unionByName(sizes) if found else dealt).groupBy("block").applyInArrow(_thinner(starts, alone, n, weigh, kind), f"a int, b int, weight {kind}")
     least = boruvka(edges)
     a, b = (sets.select(F.col("node").alias(x), F.col("set_id").alias(f"_{x}")) for x in "ab")
     return least.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "weight")
