leave_one_column_out: hits go straight to their columns and are not stored for one reader

Symptom: hits with their posteriors were written as a table that the join with the columns then read once.
Evidence: 2,400,000 rows read, 600,000 of them from that table; the other query on it (unit_results) needs only each hit's sequence and unit besides.
Fix: the hits' plan goes into the join; the weighted columns are still stored whole.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1761 -> 1218 s, shuffle 8.90 -> 6.14 GB, spill 0.00 -> 0.00 GB, read 4.40 -> 2.02 GB, longest task 20 -> 16 s, most memory of a task 772 -> 235 MB; at 6 GB of input CPU 7901 -> 5909 s, shuffle 55.23 -> 37.27 GB, spill 0.00 -> 0.00 GB, read 29.13 -> 13.65 GB, longest task 18 -> 28 s, most memory of a task 705 -> 336 MB; with hot keys, at 1 GB of input CPU 1647 -> 1428 s, shuffle 8.61 -> 5.99 GB, spill 0.00 -> 0.00 GB, read 4.13 -> 1.96 GB, longest task 20 -> 24 s, most memory of a task 705 -> 268 MB.

@@ -401,7 +401,7 @@ def read_posterior(spark, d):
 
 
 def _pile(spark, d):
-    h = cut(pileup.posteriors(_hits(spark, d)))
+    h = pileup.posteriors(_hits(spark, d))
     li = table(spark, d, "lineitem")
     cols = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("hit"), F.col("l_linenumber").alias("col"), F.lit(0).cast("long").alias("qpos"), F.col("l_returnflag").alias("residue"), F.lit("N").alias("ref"), F.when(F.col("l_returnflag") == "N", 1.0).otherwise(-1.0).alias("term"))
     return h, cut(pileup.column_weights(cols, h))

@@ -67,3 +67,13 @@ def test_columns_meet_their_hits_once(spark):
     found = pileup.column_weights(spark.createDataFrame(columns, COLUMNS), spark.createDataFrame([(*h, 1.0, 1.0, 1.0, True) for h in hits], f"{HITS}, e double, total double, posterior double, kept boolean"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 2 and plan.count("Join ") == 1 and plan.count("Exchange hashpartitioning(") == 3 and plan.count("Sort [read#") == 1
+
+
+def test_hits_are_not_stored_for_one_reader(spark, monkeypatch):
+    """Only the weighted columns are stored, whole; the hits go straight to their columns."""
+    from strandlake.plans import analytics
+
+    made, cut = [], analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df: made.append(set(df.columns)) or cut(df))
+    analytics.leave_one_column_out(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and {"weight", "sibling", "posterior", "kept"} <= made[0]
