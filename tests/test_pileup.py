@@ -70,10 +70,13 @@ def test_columns_meet_their_hits_once(spark):
 
 
 def test_hits_are_not_stored_for_one_reader(spark, monkeypatch):
-    """Only the weighted columns are stored, whole; the hits go straight to their columns."""
+    """Only the weighted columns are stored, whole; the hits go straight to their columns, and are stored where a second step reads them."""
     from strandlake.plans import analytics
 
     made, cut = [], analytics.cut
     monkeypatch.setattr(analytics, "cut", lambda df: made.append(set(df.columns)) or cut(df))
     analytics.leave_one_column_out(spark, "/root/testdata/sf0.001")
     assert len(made) == 1 and {"weight", "sibling", "posterior", "kept"} <= made[0]
+    made.clear()
+    analytics.unit_results(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2 and "weight" not in made[0]
